@@ -261,9 +261,9 @@ def label_sizes(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def index_documents(tokens: DataFrame, doc: str, pos: str, word: str, vectors: DataFrame, vec: str) -> DataFrame:
-    """Every word occurrence with its vector: (doc, pos, word, vector)."""
-    return tokens.join(vectors.select(word, vec), word).select(doc, pos, word, vec)
+def index_documents(tokens: DataFrame, word: str, vectors: DataFrame, vec: str) -> DataFrame:
+    """Every word occurrence of every document with the word's vector."""
+    return tokens.join(vectors.select(word, vec), word)
 
 
 def label_set_counts(docs: DataFrame, labels: str, wanted: str | None = None) -> DataFrame:

@@ -287,9 +287,8 @@ def group_by_label_members(spark, sf):
 def index_documents(spark, sf):
     toks = corpus(spark, sf).select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "w"))
     toks = toks.withColumn("vec_id", F.length("w").cast("bigint"))
-    got = R.index_documents(toks.select("doc_id", "pos", "w", "vec_id"), "doc_id", "pos", "vec_id", vectors(spark, sf), "v")
-    named = got.join(toks.select("doc_id", "pos", "w"), ["doc_id", "pos"])
-    return named.select("doc_id", "pos", "w", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.size("v").alias("dim"))
+    got = R.index_documents(toks, "vec_id", vectors(spark, sf), "v")
+    return got.select("doc_id", "pos", "w", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.size("v").alias("dim"))
 
 
 def order_labels(spark, sf):
