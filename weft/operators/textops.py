@@ -91,11 +91,15 @@ def keyword_label_map(rows: DataFrame, row: str, keyword: str, labels: DataFrame
     return k.join(labels.select(row, label).distinct(), row).select(keyword, label).distinct()
 
 
-def keyword_in_text(df: DataFrame, keywords: str, fields: list[str], sep: str = " ; ") -> DataFrame:
-    """Per row and keyword whether it is a substring of the joined fields."""
+def keyword_in_text(df: DataFrame, key: str, keywords: str, fields: list[str], sep: str = " ; ") -> DataFrame:
+    """Per key and keyword whether it is a substring of the joined fields. A key may have
+    several rows (parts of a long text); a hit in any of them counts."""
     text = F.concat_ws(sep, *[F.lower(f) for f in fields])
-    cells = df.select(text.alias("_t"), F.explode(keywords).alias("keyword"))
-    return cells.select(F.lower("keyword").alias("keyword"), F.contains("_t", F.lower("keyword")).alias("found"))
+    cells = df.select(key, text.alias("_t"), F.explode(keywords).alias("_k"))
+    hits = cells.select(key, "_k", F.contains("_t", F.lower("_k")).cast("int").alias("_f"))
+    return hits.groupBy(key, "_k").agg(F.max("_f").alias("_f")).select(
+        key, F.lower("_k").alias("keyword"), (F.col("_f") == 1).alias("found")
+    )
 
 
 def keyword_in_text_counts(hits: DataFrame) -> DataFrame:

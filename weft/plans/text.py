@@ -156,7 +156,7 @@ def keyword_in_text(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("text").isNotNull())
     first = c.filter("turn = 0").select("conv_id", F.array_distinct(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))).alias("keys"))
     rest = group_concat_docs(c.filter("turn > 0"), "conv_id", "text", ["turn"], " ; ")
-    hits = T.keyword_in_text(first.join(rest, "conv_id"), "keys", ["doc"])
+    hits = T.keyword_in_text(first.join(rest, "conv_id"), "conv_id", "keys", ["doc"])
     return T.keyword_in_text_counts(hits)
 
 
