@@ -192,7 +192,7 @@ def runs_sql(lo):
   rk AS (SELECT m, w, row_number() OVER (PARTITION BY m, t ORDER BY n DESC, w) AS r FROM c),
   st AS (SELECT k AS top, m, list_distinct(list(w)) AS s FROM rk, (VALUES (5), (10), (20)) v(k) WHERE r <= k GROUP BY ALL),
   ja AS (SELECT a.top AS top, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS x FROM st a JOIN st b ON a.top = b.top AND a.m < b.m)
-  SELECT CAST(top AS INTEGER) AS top, round(quantile_cont(x, 0.5), 6) AS jaccard_median, (SELECT round(quantile_cont(unnest, 0.5), 3) FROM (SELECT unnest([a, b, c]) FROM g)) AS doc_median FROM ja GROUP BY top""")
+  SELECT CAST(top AS INTEGER) AS top, round(quantile_cont(x, 0.5), 6) AS jaccard_median, (SELECT round(quantile_cont(x, 0.5), 3) FROM (SELECT unnest([a, b, c]) AS x FROM g)) AS doc_median FROM ja GROUP BY top""")
 def run_stability(spark, sf):
     v = vectors(spark, sf)
     runs = None
@@ -319,7 +319,7 @@ def adjusted_rand(spark, sf):
 # ---------------------------------------------------------------- hidden Markov models
 
 # The observed symbols in order, and a two-state model over them.
-SYMBOLS = ["click", "error", "purchase", "scroll", "view"]
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 MODEL = M.Model(init=(0.5, 0.5), trans=((0.7, 0.3), (0.3, 0.7)), emit=((0.3, 0.1, 0.25, 0.05, 0.3), (0.1, 0.4, 0.05, 0.35, 0.1)))
 CHUNK = 16
 
@@ -383,7 +383,7 @@ def hmm_viterbi(spark, sf):
   WHERE contains(text, 'oiç')""")
 def page_watch_stream(spark, sf):
     schema = table(spark, sf, "pages").schema
-    pages = streams.file_stream(spark, f"{sf}/pages.parquet", schema)
+    pages = streams.file_stream(spark, sf, schema, glob="pages.parquet")
     alerts = streams.page_watch_stream(pages, "page_id", "url", "html", "oiç")
     return streams.run_to_table(spark, alerts, "alerts").select("url", "term")
 
@@ -392,7 +392,7 @@ def page_watch_stream(spark, sf):
 def hmm_filter_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     symbols = F.array(*[F.lit(s) for s in SYMBOLS])
-    events = streams.file_stream(spark, f"{sf}/events.parquet", schema).select(
+    events = streams.file_stream(spark, sf, schema, glob="events.parquet").select(
         "user_id", "ts", "event_id", (F.array_position(symbols, F.col("event_type")) - 1).cast("int").alias("sym")
     )
     out = streams.hmm_filter_stream(events, "user_id", ["ts", "event_id"], "sym", MODEL)

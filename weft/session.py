@@ -53,6 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    A written table is computed once (an eager checkpoint runs its plan twice), survives lost
+    executors, and starts the next round from a plain scan without inherited constraints,
+    which would otherwise multiply over the rounds of an iteration.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

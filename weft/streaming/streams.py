@@ -16,8 +16,12 @@ from weft.session import scratch_path
 from weft.sources.html import contains_text_watch
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
+    """Parquet files of a folder as they appear, a bounded number per micro-batch."""
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", glob)
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    )
 
 
 def page_watch_stream(pages: DataFrame, key: str, url: str, html: str, term: str, seen: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -32,16 +36,30 @@ def page_watch_stream(pages: DataFrame, key: str, url: str, html: str, term: str
     return hits.select(key, url, seen, F.lit(term).alias("term")).dropDuplicatesWithinWatermark([url])
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything there is, write parquet, stop."""
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Process everything there is, write parquet, stop.
+
+    State goes to RocksDB, so keys may outgrow executor memory; the session's own setting of
+    the provider is put back once the query has started.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
     try:
-        query.awaitTermination()
+        query = (
+            stream.writeStream.outputMode(mode).format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
     finally:
-        query.stop()
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
