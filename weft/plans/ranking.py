@@ -19,6 +19,7 @@ from weft.plans.roles import (
     EXAMS_SQL, SONG_SQL, TOKENS_SQL, VECS_SQL, corpus, corpus_tokens, exams, publications, song_tags, vectors,
 )
 from weft.plans.relational import COS_SQL, NOVEL_SQL
+from weft.session import cut
 
 DEDUP_SQL = f"""{EXAMS_SQL}, cl AS (SELECT path_id, course, semester, grade, ects FROM (SELECT *,
     row_number() OVER (PARTITION BY path_id, course ORDER BY semester, event_id) AS rn FROM ex WHERE grade < 5) WHERE rn = 1)"""
@@ -241,7 +242,7 @@ JACC_SQL = r"""sets AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_al
 def distinct_sets(spark, sf):
     """Distinct word sets: (doc_id of the first copy, s, n_copies)."""
     sets = corpus(spark, sf).select("doc_id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("s"))
-    return fold_copies(sets.filter(F.size("s") > 0), "doc_id", ["s"])[0]
+    return cut(fold_copies(sets.filter(F.size("s") > 0), "doc_id", ["s"])[0])
 
 
 @query("pair_word_overlap", f"""WITH {JACC_SQL} SELECT i, j, c AS n_common, CAST(len(sa) - c AS BIGINT) AS n_missing,

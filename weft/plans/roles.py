@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.functions.text import words
 from weft.plans.registry import table
+from weft.session import widen
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return widen(table(spark, sf, "documents"), "doc_id")
 
 
 def corpus_tokens(spark: SparkSession, sf: str) -> DataFrame:

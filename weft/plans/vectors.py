@@ -103,8 +103,8 @@ def all_pairs(spark, sf):
   SELECT i, j, round(1 - sim, 6) AS dist, x.n AS n_i, y.n AS n_j FROM p JOIN reps x ON x.id = i JOIN reps y ON y.id = j WHERE sim >= 0.7""")
 def dist_cosine(spark, sf):
     """Distinct documents at a cosine distance of at most 0.3, with the number of copies of each."""
-    tv = V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term")
-    reps, _ = N.fold_weighted(tv, "doc_id", "term", "tf")
+    tv = cut(V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term"))
+    reps = cut(N.fold_weighted(tv, "doc_id", "term", "tf")[0])
     kept = tv.join(reps, "doc_id", "left_semi")
     pairs = N.cosine_join(kept, "doc_id", "term", "w", "df", 0.7)
     return pairs.join(reps.toDF("i", "n_i"), "i").join(reps.toDF("j", "n_j"), "j").select(

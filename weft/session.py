@@ -62,3 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that sits in fewer files than there are cores, before heavy work per row.
+
+    A table of many files is left as it is: at scale nothing is shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
