@@ -44,8 +44,25 @@ def chunked(events: DataFrame, key: str, order: list[str], symbol: str, chunk: i
     ))
 
 
+def in_buckets(rows: DataFrame, keys: list[str], fn, schema: str, per_task: int = 100_000) -> DataFrame:
+    """Run ``fn`` on every group of ``keys``, many groups per task call.
+
+    Groups are hashed to enough buckets that a bucket holds about ``per_task`` rows, so short
+    sequences do not pay for one Python call each.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(cores, -(-rows.count() // per_task))
+    names = rows.columns
+
+    def task(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fn(g[names]) for _, g in p.groupby(keys, sort=False)], ignore_index=True)
+
+    bucketed = rows.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    return bucketed.groupBy("_b").applyInPandas(task, schema)
+
+
 def per_chunk(rows: DataFrame, fn, schema: str) -> DataFrame:
-    return rows.groupBy("k", "chunk").applyInPandas(lambda p: fn(p.sort_values("step")), schema)
+    return in_buckets(rows, ["k", "chunk"], lambda p: fn(p.sort_values("step")), schema)
 
 
 def kt(rows: DataFrame) -> str:
@@ -54,10 +71,8 @@ def kt(rows: DataFrame) -> str:
 
 def with_entering(rows: DataFrame, entering: DataFrame, fn, schema: str) -> DataFrame:
     """Run ``fn(steps, vector)`` per chunk with the vector that enters it."""
-    def task(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return fn(a.sort_values("step"), np.array(b["v"].iloc[0], float))
-
-    return rows.groupBy("k", "chunk").cogroup(entering.groupBy("k", "chunk")).applyInPandas(task, schema)
+    joined = cut(rows.join(entering, ["k", "chunk"]))
+    return in_buckets(joined, ["k", "chunk"], lambda p: fn(p.sort_values("step"), np.array(p["v"].iloc[0], float)), schema)
 
 
 def scan(products: DataFrame, start, step, schema: str, reverse: bool = False) -> DataFrame:
@@ -71,7 +86,7 @@ def scan(products: DataFrame, start, step, schema: str, reverse: bool = False) -
             v = step(v, np.array(m, float).reshape(n, n))
         return pd.DataFrame({"k": p["k"].to_numpy(), "chunk": p["chunk"].to_numpy(), "v": [list(x) for x in out]})
 
-    return products.groupBy("k").applyInPandas(walk, schema)
+    return in_buckets(cut(products), ["k"], walk, schema)
 
 
 def chunk_products(rows: DataFrame, model: Model, skip_first: bool) -> DataFrame:
@@ -197,7 +212,7 @@ def hmm_viterbi(events: DataFrame, key: str, order: list[str], symbol: str, mode
             at = int(before[at])
         return pd.DataFrame({"k": p["k"].to_numpy(), "chunk": p["chunk"].to_numpy(), "last": out})
 
-    lasts = ends.groupBy("k").applyInPandas(trace, f"k {kind}, chunk bigint, last int")
+    lasts = in_buckets(cut(ends), ["k"], trace, f"k {kind}, chunk bigint, last int")
     return steps.join(lasts, ["k", "chunk"]).select(
         F.col("k").alias(key), "step", "score", "best", F.get("via", F.col("last")).alias("state")
     )

@@ -321,7 +321,7 @@ def adjusted_rand(spark, sf):
 # The observed symbols in order, and a two-state model over them.
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 MODEL = M.Model(init=(0.5, 0.5), trans=((0.7, 0.3), (0.3, 0.7)), emit=((0.3, 0.1, 0.25, 0.05, 0.3), (0.1, 0.4, 0.05, 0.35, 0.1)))
-CHUNK = 16
+CHUNK = 64
 
 
 def observations(spark, sf):
