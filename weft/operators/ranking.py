@@ -129,6 +129,15 @@ def author_disjoint_select(rows: DataFrame, key: str, rank: list[str], authors:
     return rows.join(kept, key, "left_semi")
 
 
+def keyword_lists(rows: DataFrame, key: str, keyword: str, budget: int = 100, out: str = "keys") -> DataFrame:
+    """Listed keywords per row, for the rows that list at most ``budget``.
+
+    A longer list can never fit the budget, so it is left out before anything is collected.
+    """
+    fit = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= budget).select(key)
+    return rows.join(fit, key, "left_semi").groupBy(key).agg(F.collect_list(keyword).alias(out))
+
+
 def keyword_budget_select(rows: DataFrame, key: str, rank: str, keywords: str, budget: int = 100, batch: int = 500) -> DataFrame:
     """Walk rows by rank; keep a row if the distinct keywords so far plus this row's listed
     keywords (repeats counted) stay within the budget. A row that does not fit is skipped.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weft.functions.text import clean_tag_doc, normalise_mapping_field, singular, split_list
+from weft.operators.order import ordered_chunks
 
 
 def token_table(df: DataFrame, key: str, tokens: Column, word: str = "word", pos: str = "pos") -> DataFrame:
@@ -70,15 +71,19 @@ def phrase_merge(tokens: DataFrame, doc: str, pos: str, word: str, phrases: Data
     )
 
 
-def clean_tag_docs(df: DataFrame, key: str, doc: str) -> DataFrame:
-    """Distinct cleaned tags per song, as sentences (tag words) and as one document."""
-    tags = F.array_sort(F.array_distinct(split_list(clean_tag_doc(F.col(doc)), ".")))
-    return df.select(key, tags.alias("tags")).withColumn("doc", F.replace(F.concat_ws(".", "tags"), F.lit("."), F.lit(" ")))
+def clean_tag_docs(df: DataFrame, keys: list[str], doc: str, part_size: int = 10_000) -> DataFrame:
+    """Distinct cleaned tags per song, as a list and as one document: (keys, part, tags, doc).
+
+    Tags are made distinct before they are put together, whatever number of rows a song has;
+    a song with more than ``part_size`` tags has several parts.
+    """
+    tags = df.select(*keys, F.explode(split_list(clean_tag_doc(F.col(doc)), ".")).alias("tag")).distinct()
+    return ordered_chunks(tags, keys, ["tag"], "tag", part_size, "tags").withColumn("doc", F.concat_ws(" ", "tags"))
 
 
-def tag_sentences(cleaned: DataFrame, key: str) -> DataFrame:
-    """The words of every tag: (key, tag, word)."""
-    return cleaned.select(key, F.explode("tags").alias("tag")).select(key, "tag", F.explode(F.split("tag", " ", -1)).alias("word"))
+def tag_sentences(cleaned: DataFrame, keys: list[str]) -> DataFrame:
+    """The words of every tag: (keys, tag, word)."""
+    return cleaned.select(*keys, F.explode("tags").alias("tag")).select(*keys, "tag", F.explode(F.split("tag", " ", -1)).alias("word"))
 
 
 def normalise_mapping(mapping: DataFrame, keyword: str, label: str) -> DataFrame:

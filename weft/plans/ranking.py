@@ -207,7 +207,7 @@ def keyword_budget_select(spark, sf):
     p = publications(spark, sf)
     test = p.filter("year >= 1999")
     novel = R.novel_keywords(test, p.filter("year < 1999"), "keyword")
-    rows = test.join(novel, "keyword", "left_semi").groupBy("pub").agg(F.collect_list("keyword").alias("keys"))
+    rows = K.keyword_lists(test.join(novel, "keyword", "left_semi"), "pub", "keyword")
     rows = rows.withColumn("r", (F.col("pub") * 48271 + 7) % 65521 * 100000000 + F.col("pub"))
     return K.keyword_budget_select(rows, "pub", "r", "keys").select("pub")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import remove_value, words
 from weft.operators import relational as R
+from weft.operators.order import ordered_chunks
 from weft.operators.pairwise import block_truth, pairwise
 from weft.plans.registry import query, table
 from weft.plans.roles import (
@@ -62,14 +63,14 @@ def derive_period_flag(spark, sf):
     return R.derive_period_flag(o, "d", ["2000", "2001"]).select("o_orderkey", "period")
 
 
-@query("remove_value_from_list", """WITH g AS (SELECT user_id, date_trunc('hour', ts) AS h, string_agg(event_type, ';' ORDER BY event_id) AS s
-    FROM events GROUP BY ALL)
-  SELECT user_id, h AS hour, array_to_string(list_filter(string_split(s, ';'), lambda x: x <> 'error'), ';') AS kinds FROM g""")
+@query("remove_value_from_list", """WITH r AS (SELECT user_id, date_trunc('hour', ts) AS h, event_id, event_type,
+    row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id) - 1 AS p FROM events),
+  g AS (SELECT user_id, h, CAST(p // 1000 AS BIGINT) AS part, string_agg(event_type, ';' ORDER BY event_id) AS s FROM r GROUP BY ALL)
+  SELECT user_id, h AS hour, part, array_to_string(list_filter(string_split(s, ';'), lambda x: x <> 'error'), ';') AS kinds FROM g""")
 def remove_value_from_list(spark, sf):
-    ev = table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"])).alias("s")
-    )
-    return ev.select("user_id", "hour", remove_value(F.col("s"), "error").alias("kinds"))
+    ev = table(spark, sf, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour"), "event_id", "event_type")
+    lists = ordered_chunks(ev, ["user_id", "hour"], ["event_id"], "event_type", 1000)
+    return lists.select("user_id", "hour", "part", remove_value(F.concat_ws(";", "items"), "error").alias("kinds"))
 
 
 @query("override_value", """SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'MACHINERY' ELSE c_mktsegment END AS c_mktsegment FROM customer""")

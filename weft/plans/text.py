@@ -89,15 +89,15 @@ def sentences_with_context(spark, sf):
 
 @query("clean_tag_docs", f"""WITH {SONG_SQL}, d AS (SELECT song, l_linenumber < 4 AS first, string_agg(upper(tag) || '!', '.' ORDER BY l_linenumber, l_partkey, l_suppkey, tag) AS doc FROM st GROUP BY ALL),
   t AS (SELECT song, first, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(doc), '[^\\p{{L}}\\p{{N}}_ .]', ' ', 'g'), '\\s+', ' ', 'g')), '.'), lambda x: x <> ''))) AS tags FROM d)
-  SELECT song, first, array_to_string(tags, '|') AS tags, array_to_string(tags, ' ') AS doc FROM t""")
+  SELECT song, first, CAST(0 AS BIGINT) AS part, array_to_string(tags, '|') AS tags, array_to_string(tags, ' ') AS doc FROM t""")
 def clean_tag_docs(spark, sf):
     tags = song_tags(spark, sf).withColumn("tag", F.concat(F.upper("tag"), F.lit("!")))
     keyed = tags.withColumn("k", F.concat_ws("|", F.col("song").cast("string"), (F.col("l_linenumber") < 4).cast("string")))
     docs = group_concat_docs(keyed, "k", "tag", SONG_ORDER, part_size=1000)
-    got = T.clean_tag_docs(docs, "k", "doc")
+    got = T.clean_tag_docs(docs.select("k", "doc"), ["k"], "doc")
     return got.select(
         F.substring_index("k", "|", 1).cast("bigint").alias("song"), (F.substring_index("k", "|", -1) == "true").alias("first"),
-        F.concat_ws("|", "tags").alias("tags"), "doc",
+        "part", F.concat_ws("|", "tags").alias("tags"), "doc",
     )
 
 

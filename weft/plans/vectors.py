@@ -213,13 +213,14 @@ def neighbours_above(spark, sf):
 @query("neighbour_counts", f"""WITH {NB_SQL}, {TOKENS_SQL}, oc AS (SELECT (length(w) * 31 + ascii(w)) % 500 AS vec_id, count(*) AS n FROM tok GROUP BY 1),
   g AS (SELECT neighbour, CAST(sum(n) AS BIGINT) AS g FROM nb JOIN oc ON item = vec_id GROUP BY 1),
   s AS (SELECT item, count(*) AS s, string_agg(CAST(neighbour AS VARCHAR), ',' ORDER BY neighbour) AS l FROM nb GROUP BY 1)
-  SELECT oc.vec_id AS vec_id, n AS count, n + coalesce(g, 0) AS is_neighbour_count, coalesce(s, 0) AS neighbour_count, coalesce(l, '') AS neighbours
+  SELECT oc.vec_id AS vec_id, n AS count, n + coalesce(g, 0) AS is_neighbour_count, coalesce(s, 0) AS neighbour_count, CAST(0 AS BIGINT) AS part, coalesce(l, '') AS neighbours
   FROM oc LEFT JOIN g ON g.neighbour = oc.vec_id LEFT JOIN s ON s.item = oc.vec_id""")
 def neighbour_counts(spark, sf):
     nb = cut(N.neighbours_above(vectors(spark, sf), "vec_id", "v", 0.55))
     counts = N.neighbour_counts(word_vector_tokens(spark, sf), "vec_id", nb)
-    lists = N.neighbour_lists(nb).filter("part = 0").select(F.col("item").alias("vec_id"), "neighbours")
-    return counts.join(lists, "vec_id", "left").na.fill({"neighbours": ""})
+    # a list of more than 10,000 neighbours goes on in a second row
+    lists = N.neighbour_lists(nb).withColumnRenamed("item", "vec_id")
+    return counts.join(lists, "vec_id", "left").na.fill({"neighbours": "", "part": 0})
 
 
 @query("neighbour_stats_join", f"""WITH {COS_SQL}, {TOKENS_SQL}, oc AS (SELECT (length(w) * 31 + ascii(w)) % 500 AS vec_id, count(*) AS n FROM tok GROUP BY 1),
