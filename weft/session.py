@@ -21,6 +21,7 @@ def local_session(cores: int | str | None = None, app: str = "weft") -> SparkSes
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weft-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,22 +29,13 @@ def local_session(cores: int | str | None = None, app: str = "weft") -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder of this machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(path)
-        return path
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="weft-")
-    sc.setCheckpointDir(path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/weft-scratch"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -70,4 +62,4 @@ def widen(df: DataFrame, key: str) -> DataFrame:
     A table of many files is left as it is: at scale nothing is shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
