@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,20 +35,36 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+#: Bytes of text handled at a time within a batch (a batch holds up to 64 MB).
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes in one column (at least a row each), without copies."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, stop - start)
+
+
 def per_batch(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str) -> DataFrame:
     """Run ``fn(doc_ids, texts) -> columns`` over Arrow batches of (doc_id, text)."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = fn(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, fields)
 
 
-def extended(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: dict[str, str], replaced: tuple[str, ...] = ()) -> DataFrame:
+def extended(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], dict], added: dict[str, str], replaced: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns that ``fn`` makes of each Arrow batch: ``added`` (name: type) at the end, ``replaced`` in place.
 
     The batch has the columns of ``df`` in their order; names are put aside meanwhile, so that no
@@ -60,7 +77,7 @@ def extended(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: dict[st
     extra = arrow_schema(T.StructType(inner.fields[len(names):])) if added else pa.schema([])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, names.index(text_col)):
             out = fn(batch)
             columns = [pa.array(out[n], batch.column(i).type) if n in replaced else batch.column(i) for i, n in enumerate(names)]
             columns += [pa.array(out[n], f.type) for n, f in zip(added, extra)]

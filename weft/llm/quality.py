@@ -78,7 +78,7 @@ def with_measures(df: DataFrame, text_col: str = "text", prefix: str = "weft_")
         counts = np.array([measure(t) for t in texts_of(batch.column(at))], np.int64).reshape(-1, len(FIELDS))
         return {prefix + f: counts[:, i] for i, f in enumerate(FIELDS)}
 
-    return extended(df, run, {prefix + f: "long" for f in FIELDS})
+    return extended(df, text_col, run, {prefix + f: "long" for f in FIELDS})
 
 
 def failed(prefix: str = "") -> Column:
