@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +94,12 @@ def arrow_schema(fields: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields])
 
 
+def open_shared(name: str):
+    """A binary stream of a file in the shared folder (a URI as Spark lists it), read as it comes."""
+    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", name))
+    return system.open_input_stream(unquote(path) if system.type_name == "local" else path, buffer_size=1 << 20)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start+1, … of every (start, length), one after another."""
     total = int(lengths.sum())
