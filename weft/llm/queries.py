@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, quality, secrets, simhash, tokenstore
+from . import bpe, dedup, packing, quality, secrets, simhash, tokenstore, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_bpe_codec")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_and_decoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
