@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
@@ -97,7 +98,7 @@ def arrow_schema(fields: T.StructType) -> pa.Schema:
 def open_shared(name: str):
     """A binary stream of a file in the shared folder (a URI as Spark lists it), read as it comes."""
     system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", name))
-    return system.open_input_stream(unquote(path) if system.type_name == "local" else path, buffer_size=1 << 20)
+    return io.BufferedReader(system.open_input_stream(unquote(path) if system.type_name == "local" else path, compression=None), 1 << 20)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
