@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, quality, secrets, simhash, tokenstore, toxicity, warc
+from . import bpe, dedup, extract, packing, quality, secrets, simhash, tokenstore, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.main_text(pages, keep=["url"]).select(F.col("doc_id").alias("page_id"), "url", "text", "n_chars")
+
+
 @query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
