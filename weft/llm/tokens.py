@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from .common import ranges
 
 #: Words remembered per worker process before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters handled at a time: the words of a piece are the peak of the memory.
 PIECE = 1 << 20
 
@@ -56,10 +56,21 @@ BYTE_LETTERS = byte_letters()
 
 def in_letters(word: str) -> str:
     """A word as the vocabulary spells it: one character per UTF-8 byte."""
-    return word.translate(ASCII_LETTERS) if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", BYTE_LETTERS[32])
+    return "".join([BYTE_LETTERS[b] for b in word.encode()])
 
 
-ASCII_LETTERS = dict(enumerate(BYTE_LETTERS[:128]))
+class Numbers(dict):
+    """Numbers words as they come; the new ones since the last ``clear`` of ``fresh`` are listed there."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class Encoder:
@@ -82,15 +93,15 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
+        """The ids of new words, all in one call; the widths of the tokens tell where a word ends."""
         spelled = [in_letters(w) for w in words]
-        ids = np.array(self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(s) for s in spelled])) + 1
         counts = np.diff(ends, prepend=0)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + ends - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, ids])
@@ -120,10 +131,11 @@ class Encoder:
         if len(self.number) > REMEMBERED:
             self.forget()
         known = self.number
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh:
-            self.learn(fresh)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.fresh:
+            self.learn(known.fresh)
+            known.fresh = []
+        return index
 
     def batches(self, texts: list[str]) -> Iterator[tuple[int, list[str] | np.ndarray, list[int]]]:
         """(first text, words, words of each text in turn), or (text, ids, []) where the library encodes it."""
