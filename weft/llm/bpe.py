@@ -122,7 +122,7 @@ class ForcedBoundaryCodec:
         else:
             fresh = [w for w in dict.fromkeys(words) if w not in self.words]
             if fresh:
-                self.learn(fresh, [in_letters(w) for w in fresh])
+                self.learn(fresh, in_letters(fresh))
         known = self.words
         for w in words:
             out += known[w]

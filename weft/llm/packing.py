@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, keyed, slices, texts_of
-from .tokens import encoder, shipped
+from .common import arrow_schema, keyed, slices
+from .tokens import ENCODED, encoder, shipped
 
 WINDOW = 2048
 END_ID = 1
@@ -135,7 +135,7 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, number = Packer(window), TaskContext.get().partitionId() << SEQUENCE_BITS
-        encode = encoder(spec.value).encode
+        encode = encoder(spec.value).encode_column
         end = np.array([end_id], np.uint32)
 
         def rows(windows: Iterator[Window]) -> Iterator[tuple]:
@@ -148,12 +148,12 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 number += 1
 
         def full(batch: pa.RecordBatch) -> Iterator[Window]:
-            flat, counts = encode(texts_of(batch.column("text")))
+            flat, counts = encode(batch.column("text"))
             ends = np.cumsum(counts)
             for doc_id, stop, n in zip(batch.column("doc_id").to_pylist(), ends.tolist(), counts.tolist()):
                 yield from packer.document(doc_id, np.concatenate([flat[stop - n : stop], end]))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED):
             yield as_batch(list(rows(full(batch))), schema)
         yield as_batch(list(rows(packer.finish())), schema)
 

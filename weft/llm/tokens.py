@@ -1,9 +1,10 @@
 """Token ids of whole texts, as the ``tokenizers`` library gives them, many texts at once.
 
-The library's pre-tokenizers are slow next to its BPE model. Texts made of common characters
-only are cut into words here by the same pattern; each new word goes to the library's model once and
-its ids are remembered. Any other text (rare scripts, control characters, special tokens) is
-left to the library as it is. The ids are the library's in both cases.
+No word of these tokenizers goes across a single space, so texts are split there and numbered by Arrow, and
+only chunks that are new to the process are encoded. The library's pre-tokenizers are slow next
+to its BPE model: a chunk of common characters is cut into words here by the same pattern, and each
+new word goes to the library's model once. Any other chunk (rare scripts, control characters, special
+tokens) is left to the library as it is. The ids are the library's in all cases.
 """
 
 from __future__ import annotations
@@ -15,13 +16,19 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 from .common import ranges
 
-#: Words remembered per worker process before it starts anew.
-REMEMBERED = 1_000_000
+#: Words, and chunks, remembered per worker process before it starts anew.
+REMEMBERED = 900_000
+#: Bytes of text numbered at a time: the more, the fewer chunks are looked up twice.
+ENCODED = 16 << 20
+#: Bytes beyond which a text is encoded piece by piece.
+LONG = 8 << 20
 #: Characters handled at a time: the words of a piece are the peak of the memory.
 PIECE = 1 << 20
 
@@ -35,13 +42,17 @@ RARE = re.compile("[^" + re.escape("".join(COMMON)) + "]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+#: Stands between chunks that are cut into words in one go; rare, so never in a common chunk.
+BREAK = "\0"
+
+
 def word_pattern(config: dict) -> re.Pattern:
-    """The pre-tokenizer's pattern over common characters."""
+    """The pre-tokenizer's pattern over common characters; a ``BREAK`` ends what is before it and is a word of its own."""
     letter, number = f"[{LETTERS}]", f"[{NUMBERS}]"
-    other = f"[^\\s{LETTERS}{NUMBERS}]"
+    other = f"[^\\s{BREAK}{LETTERS}{NUMBERS}]"
     if config["pre_tokenizer"]["type"] == "ByteLevel":
-        return re.compile(f"{ENDINGS}| ?{letter}+| ?{number}+| ?{other}+|\\s+(?!\\S)|\\s+")
-    return re.compile(f"{ENDINGS}|{letter}+|{number}|{other}+")
+        return re.compile(f"{ENDINGS}| ?{letter}+| ?{number}+| ?{other}+|\\s+(?![^\\s{BREAK}])|\\s+|{BREAK}")
+    return re.compile(f"{ENDINGS}|{letter}+|{number}|{other}+|{BREAK}")
 
 
 def byte_letters() -> list[str]:
@@ -54,11 +65,14 @@ def byte_letters() -> list[str]:
 BYTE_LETTERS = byte_letters()
 
 
-def in_letters(word: str) -> str:
-    """A word as the vocabulary spells it: one character per UTF-8 byte."""
-    if word.isascii() and word.isprintable():
-        return word.replace(" ", BYTE_LETTERS[32])
-    return "".join([BYTE_LETTERS[b] for b in word.encode()])
+CODES = np.array([ord(c) for c in BYTE_LETTERS], np.uint32)
+CODES[0] = 0  # a BREAK stays
+
+
+def in_letters(words: list[str]) -> list[str]:
+    """Common words as the vocabulary spells them: one character per UTF-8 byte."""
+    data = np.frombuffer(BREAK.join(words).encode(), np.uint8)
+    return CODES[data].tobytes().decode("utf-32-le").split(BREAK)
 
 
 class Numbers(dict):
@@ -83,6 +97,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.lower = any(n["type"] == "Lowercase" for n in (config["normalizer"] or {}).get("normalizers", []))
         self.pattern = word_pattern(config)
+        self.spaced = config["pre_tokenizer"]["type"] == "ByteLevel"  # words begin with their space
         self.special = [t["content"] for t in config["added_tokens"]]
         self.model = Tokenizer(self.tokenizer.model)
         suffix = config["model"]["end_of_word_suffix"] or ""
@@ -94,11 +109,84 @@ class Encoder:
 
     def forget(self) -> None:
         self.number = Numbers()
-        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.forget_chunks()
+        self.number[BREAK] = 0  # a word without ids
+        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def forget_chunks(self) -> None:
+        self.chunks = Numbers()
+        self.chunk_flat, self.chunk_starts, self.chunk_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for a column of strings (NULL: empty)."""
+        column = pc.fill_null(column, "")
+        odd = pc.binary_length(column).to_numpy(zero_copy_only=False) > LONG
+        if self.spaced:  # a run of spaces is cut by what follows it
+            odd = odd | pc.match_substring(column, "  ").to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.encode_chunks(column)
+        parts = self.encode_chunks(column.filter(pa.array(~odd))), self.encode(column.filter(pa.array(odd)).to_pylist())
+        counts = np.zeros(len(column), np.int64)
+        counts[~odd], counts[odd] = parts[0][1], parts[1][1]
+        flat, starts = np.zeros(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
+        for which, (ids, lengths) in zip((~odd, odd), parts):
+            flat[ranges(starts[which], lengths)] = ids
+        return flat, counts
+
+    def encode_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if max(len(self.chunks), len(self.number)) > REMEMBERED:
+            self.forget()
+        lists = pc.split_pattern(column, " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        names, known = coded.dictionary.to_pylist(), self.chunks
+        keys = [" " + n for n in names] if self.spaced else names
+        numbers = np.array(list(map(known.get, keys)), np.float64)  # NaN: not known yet
+        new = np.flatnonzero(np.isnan(numbers))
+        known.fresh = list(map(keys.__getitem__, new.tolist()))
+        numbers[new] = np.arange(len(known), len(known) + len(new))
+        known.update(zip(known.fresh, numbers[new].astype(np.int64).tolist()))
+        index = numbers.astype(np.int64)[coded.indices.to_numpy()]
+        if self.spaced:  # the first chunk of a text has no space before it
+            first = np.cumsum(sizes) - sizes
+            start = [names[i] for i in coded.indices.to_numpy()[first].tolist()]
+            index[first] = np.fromiter(map(known.__getitem__, start), np.int64, len(start))
+        if known.fresh:
+            self.learn_chunks(known.fresh)
+            known.fresh = []
+        lengths = self.chunk_counts[index]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
+        return self.chunk_flat[ranges(self.chunk_starts[index], lengths)], np.diff(ends)
+
+    def learn_chunks(self, chunks: list[str]) -> None:
+        """The ids of new chunks: their words in one go, rare chunks by the library."""
+        joined = BREAK.join(chunks)
+        rare: list[int] = []
+        if joined.count(BREAK) >= len(chunks) or not self.common(joined.replace(BREAK, " ")):
+            rare = [i for i, c in enumerate(chunks) if not self.common(c)]
+            out = set(rare)
+            joined = BREAK.join(["" if i in out else c for i, c in enumerate(chunks)])
+        words = self.words_of(joined)
+        index = self.indices(words)
+        lengths = self.counts[index]
+        breaks = np.flatnonzero(index == self.number[BREAK])
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], breaks, [len(index)]))]
+        starts, counts = ends[:-1], np.diff(ends)
+        flats = [self.flat[ranges(self.starts[index], lengths)]]
+        at = int(ends[-1])
+        for i, e in zip(rare, self.tokenizer.encode_batch_fast([chunks[i] for i in rare], add_special_tokens=False) if rare else ()):
+            flats.append(np.array(e.ids, np.uint32))
+            starts[i], counts[i] = at, len(flats[-1])
+            at += len(flats[-1])
+        self.chunk_starts = np.concatenate([self.chunk_starts, len(self.chunk_flat) + starts])
+        self.chunk_counts = np.concatenate([self.chunk_counts, counts])
+        self.chunk_flat = np.concatenate([self.chunk_flat, *flats])
 
     def learn(self, words: list[str]) -> None:
         """The ids of new words, all in one call; the widths of the tokens tell where a word ends."""
-        spelled = [in_letters(w) for w in words]
+        spelled = in_letters(words)
         ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(s) for s in spelled])) + 1
         counts = np.diff(ends, prepend=0)
@@ -114,21 +202,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after another, and each text's number of ids."""
-        flats, totals = [], np.zeros(len(texts), np.int64)
-        for first, words, counts in self.batches(texts):
-            if isinstance(words, np.ndarray):
-                flats.append(words)
-                totals[first] += len(words)
-                continue
-            index = self.indices(words)
-            lengths = self.counts[index]
-            flats.append(self.flat[ranges(self.starts[index], lengths)])
-            done = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-            totals[first : first + len(counts)] += np.diff(done)
-        return np.concatenate(flats) if flats else np.zeros(0, np.uint32), totals
+        flats, totals = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for owners, words, counts in self.batches(texts):
+            if words is None:
+                ids = np.array(self.tokenizer.encode(texts[owners[0]], add_special_tokens=False).ids, np.uint32)
+                totals[owners[0]] = len(ids)
+            else:
+                index = self.indices(words)
+                lengths = self.counts[index]
+                ids = self.flat[ranges(self.starts[index], lengths)]
+                ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *counts])]
+                np.add.at(totals, owners, np.diff(ends))
+            flats.append(ids)
+        return np.concatenate(flats), totals
 
     def indices(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > 2 * REMEMBERED:
             self.forget()
         known = self.number
         index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -137,34 +226,30 @@ class Encoder:
             known.fresh = []
         return index
 
-    def batches(self, texts: list[str]) -> Iterator[tuple[int, list[str] | np.ndarray, list[int]]]:
-        """(first text, words, words of each text in turn), or (text, ids, []) where the library encodes it."""
-        first, words, counts, size = 0, [], [], 0
+    def batches(self, texts: list[str]) -> Iterator[tuple[list[int], list[str] | None, list[int]]]:
+        """Words of about ``PIECE`` characters at a time: (text of each piece, words, words of each piece).
+
+        A long text comes in several pieces. Words are None where the library encodes the text itself.
+        """
+        owners, words, counts, size = [], [], [], 0
         for i, text in enumerate(texts):
             if not self.common(text):
-                if counts:
-                    yield first, words, counts
-                yield i, np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32), []
-                first, words, counts, size = i + 1, [], [], 0
+                if owners:
+                    yield owners, words, counts
+                    owners, words, counts, size = [], [], [], 0
+                yield [i], None, []
                 continue
             for piece in pieces(text):
                 found = self.words_of(piece)
+                owners.append(i)
                 words += found
+                counts.append(len(found))
                 size += len(piece)
-                if size >= PIECE and len(piece) < len(text):  # a long text goes piece by piece
-                    yield first, words, [*counts, len(found)]
-                    first, words, counts, size = i, [], [], 0
-                    found = []
-                    continue
-                if counts and first + len(counts) > i:
-                    counts[-1] += len(found)
-                else:
-                    counts.append(len(found))
-            if size >= PIECE:
-                yield first, words, counts
-                first, words, counts, size = i + 1, [], [], 0
-        if counts:
-            yield first, words, counts
+                if size >= PIECE:
+                    yield owners, words, counts
+                    owners, words, counts, size = [], [], [], 0
+        if owners:
+            yield owners, words, counts
 
 
 #: A space between two other characters: no word goes across it.

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, open_shared, ranges, scratch_path, slices, texts_of
-from .tokens import encoder, shipped
+from .common import cut, keyed, open_shared, ranges, scratch_path, slices
+from .tokens import ENCODED, encoder, shipped
 
 #: Selector s packs COUNTS[s] ids of WIDTHS[s] bits (the widths of Simple-8b without its runs of zeros).
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -206,9 +206,9 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
     ordered = keyed(df, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-        encode, end = encoder(spec.value).encode, np.array([end_id], np.uint32)
-        for batch in slices(batches, "text"):
-            flat, counts = encode(texts_of(batch.column("text")))
+        encode, end = encoder(spec.value).encode_column, np.array([end_id], np.uint32)
+        for batch in slices(batches, "text", ENCODED):
+            flat, counts = encode(batch.column("text"))
             for doc_id, stop, k in zip(batch.column("doc_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist()):
                 yield doc_id, np.concatenate([flat[stop - k : stop], end])
 
