@@ -288,6 +288,42 @@ def test_hmm_textbook_values(spark, chunk):
     assert np.allclose(g, [0.86733, 0.82042, 0.30748, 0.82042, 0.86733], atol=1e-5)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_hmm_scan_in_levels(spark, monkeypatch, fan):
+    """One key holds a third of the events: all levels of the scan agree with the step-by-step values."""
+    monkeypatch.setattr(M, "FAN", fan)
+    rng = random.Random(fan)
+    rows = [("hot", i, rng.randint(0, 1)) for i in range(60)] + [(f"u{i % 9}", i, rng.randint(0, 1)) for i in range(120)]
+    rows += [("hot", 1000, 7), ("hot", 1001, -1), ("hot", 1002, None), ("odd", 0, 9)]  # no symbols of the model
+    events = frame(spark, rows, "k string, t int, sym int")
+    init, t, e = DIE.arrays()
+    got = {(r["k"], r["step"]): r for r in M.hmm_posterior(events, "k", ["t"], "sym", DIE, 2).collect()}
+    fwd = {(r["k"], r["step"]): r["f"] for r in M.hmm_forward(events, "k", ["t"], "sym", DIE, 2).collect()}
+    best = {(r["k"], r["step"]): r for r in M.hmm_viterbi(events, "k", ["t"], "sym", DIE, 2).collect()}
+    keys = {k for k, *_ in rows} - {"odd"}
+    assert {k for k, _ in got} == keys
+    for k in keys:
+        seq = [s for q, _, s in sorted(rows, key=lambda r: r[1]) if q == k and s in (0, 1)]
+        f, fs = init, []
+        for n, s in enumerate(seq):
+            f = M.unit((f if n == 0 else f @ t) * e[:, s])
+            fs.append(f)
+        b, gs = np.ones(2), []
+        for f, s in zip(fs[::-1], seq[::-1]):
+            gs.append(M.unit(f * b))
+            b = M.unit(t @ (e[:, s] * b))
+        v, back = np.log(init) + np.log(e[:, seq[0]]), []
+        for s in seq[1:]:
+            reach = v[:, None] + np.log(t)
+            back.append(reach.argmax(axis=0))
+            v = reach.max(axis=0) + np.log(e[:, s])
+        path = [int(v.argmax())]
+        for step in back[::-1]:
+            path.append(int(step[path[-1]]))
+        assert np.allclose([fwd[k, n] for n in range(len(seq))], fs) and np.allclose([got[k, n]["g"] for n in range(len(seq))], gs[::-1])
+        assert [best[k, n]["state"] for n in range(len(seq))] == path[::-1]
+
+
 @pytest.mark.parametrize("chunk", [3, 100])
 def test_viterbi_path_is_the_best_of_all(spark, chunk):
     seq = "01233456"

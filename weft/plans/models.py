@@ -321,7 +321,6 @@ def adjusted_rand(spark, sf):
 # The observed symbols in order, and a two-state model over them.
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 MODEL = M.Model(init=(0.5, 0.5), trans=((0.7, 0.3), (0.3, 0.7)), emit=((0.3, 0.1, 0.25, 0.05, 0.3), (0.1, 0.4, 0.05, 0.35, 0.1)))
-CHUNK = 64
 
 
 def observations(spark, sf):
@@ -349,18 +348,18 @@ BACKWARD_SQL = """bw AS (SELECT user_id, step, a / (a + b) AS b0, b / (a + b) AS
 
 @query("hmm_forward", f"WITH RECURSIVE {FORWARD_SQL} SELECT user_id, step, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM fw")
 def hmm_forward(spark, sf):
-    return first_two(M.hmm_forward(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL, CHUNK), "f", ["f0", "f1"])
+    return first_two(M.hmm_forward(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL), "f", ["f0", "f1"])
 
 
 @query("hmm_backward", f"WITH RECURSIVE {OBS_SQL}, {BACKWARD_SQL} SELECT user_id, step, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM bw")
 def hmm_backward(spark, sf):
-    return first_two(M.hmm_backward(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL, CHUNK), "b", ["b0", "b1"])
+    return first_two(M.hmm_backward(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL), "b", ["b0", "b1"])
 
 
 @query("hmm_posterior", f"""WITH RECURSIVE {FORWARD_SQL}, {BACKWARD_SQL}
   SELECT user_id, step, round(f0 * n0 / (f0 * n0 + f1 * n1), 6) AS g0, round(f1 * n1 / (f0 * n0 + f1 * n1), 6) AS g1 FROM fw JOIN bw USING (user_id, step)""")
 def hmm_posterior(spark, sf):
-    return first_two(M.hmm_posterior(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL, CHUNK), "g", ["g0", "g1"])
+    return first_two(M.hmm_posterior(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL), "g", ["g0", "g1"])
 
 
 @query("hmm_viterbi", f"""WITH RECURSIVE {OBS_SQL}, vt AS (SELECT user_id, step, ln(0.5::DOUBLE) + ln(e0) AS s0, ln(0.5::DOUBLE) + ln(e1) AS s1, 0 AS p0, 1 AS p1, last FROM ob WHERE step = 0
@@ -371,7 +370,7 @@ def hmm_posterior(spark, sf):
   UNION ALL SELECT v.user_id, v.step - 1, CASE WHEN state = 1 THEN p1 ELSE p0 END FROM tb JOIN vt v ON v.user_id = tb.user_id AND v.step = tb.step WHERE v.step > 0)
   SELECT user_id, step, round(s0, 6) AS s0, round(s1, 6) AS s1, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS best, state FROM vt JOIN tb USING (user_id, step)""")
 def hmm_viterbi(spark, sf):
-    got = M.hmm_viterbi(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL, CHUNK)
+    got = M.hmm_viterbi(observations(spark, sf), "user_id", ["ts", "event_id"], "sym", MODEL)
     return got.select("user_id", "step", F.round(F.get("score", F.lit(0)), 6).alias("s0"), F.round(F.get("score", F.lit(1)), 6).alias("s1"), "best", "state")
 
 

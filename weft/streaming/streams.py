@@ -103,10 +103,12 @@ def hmm_filter_stream(events: DataFrame, key: str, order: list[str], symbol: str
     """Forward probabilities per key as observations arrive: (key, step, f).
 
     The state of a key is one short vector. A micro-batch is bounded by ``maxFilesPerTrigger``;
-    its rows are put in order per key, and batches must arrive in order.
+    its rows are put in order per key, and batches must arrive in order. Symbols outside the model, and
+    NULL, are left out.
     """
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, *order, symbol).groupBy(key).transformWithStateInPandas(
+    known = events.filter(F.col(symbol).between(0, len(model.emit[0]) - 1))
+    return known.select(key, *order, symbol).groupBy(key).transformWithStateInPandas(
         statefulProcessor=ForwardFilter(model, key, order, symbol),
         outputStructType=f"{key} {kind}, step bigint, f array<double>",
         outputMode="Append",
