@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ from tokenizers import Tokenizer
 
 from .common import ranges
 
-#: Words, and chunks, remembered per worker process before it starts anew.
-REMEMBERED = 900_000
+#: Words, and chunks, remembered per worker process; beyond that the first half stays, which has the frequent ones.
+REMEMBERED = 500_000
 #: Bytes of text numbered at a time: the more, the fewer chunks are looked up twice.
-ENCODED = 16 << 20
+ENCODED = 8 << 20
 #: Bytes beyond which a text is encoded piece by piece.
 LONG = 8 << 20
 #: Characters handled at a time: the words of a piece are the peak of the memory.
@@ -78,7 +79,8 @@ def in_letters(words: list[str]) -> list[str]:
 class Numbers(dict):
     """Numbers words as they come; the new ones since the last ``clear`` of ``fresh`` are listed there."""
 
-    def __init__(self) -> None:
+    def __init__(self, known=()) -> None:
+        super().__init__(known)
         self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -117,6 +119,18 @@ class Encoder:
         self.chunks = Numbers()
         self.chunk_flat, self.chunk_starts, self.chunk_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def trim(self) -> None:
+        """Keep what was learned first where too much is remembered."""
+        keep = REMEMBERED // 2
+        if len(self.number) > REMEMBERED:
+            self.number = Numbers(islice(self.number.items(), keep))
+            self.starts, self.counts = self.starts[:keep], self.counts[:keep]
+            self.flat = self.flat[: int((self.starts + self.counts).max())].copy()
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = Numbers(islice(self.chunks.items(), keep))
+            self.chunk_starts, self.chunk_counts = self.chunk_starts[:keep], self.chunk_counts[:keep]
+            self.chunk_flat = self.chunk_flat[: int((self.chunk_starts + self.chunk_counts).max())].copy()
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for a column of strings (NULL: empty)."""
         column = pc.fill_null(column, "")
@@ -136,8 +150,7 @@ class Encoder:
     def encode_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if max(len(self.chunks), len(self.number)) > REMEMBERED:
-            self.forget()
+        self.trim()
         lists = pc.split_pattern(column, " ")
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -204,6 +217,7 @@ class Encoder:
         """All ids (uint32) one text after another, and each text's number of ids."""
         flats, totals = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
         for owners, words, counts in self.batches(texts):
+            self.trim()
             if words is None:
                 ids = np.array(self.tokenizer.encode(texts[owners[0]], add_special_tokens=False).ids, np.uint32)
                 totals[owners[0]] = len(ids)
@@ -217,8 +231,6 @@ class Encoder:
         return np.concatenate(flats), totals
 
     def indices(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > 2 * REMEMBERED:
-            self.forget()
         known = self.number
         index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if known.fresh:
