@@ -160,8 +160,6 @@ def test_path_distances_by_hand(spark):
     assert e["a", "b"] == 0 and e["a", "r"] == 0 and e["a", "none"] == pytest.approx(1.5)
     share = {(r["i"], r["j"]): r["dist"] for r in H.path_distance(items, "order_share").collect()}
     assert share["a", "b"] == 0 and share["a", "r"] == 1
-    cells = {(r["i"], r["j"]): r["dist"] for r in H.path_distance(items, "order_share_cells").collect()}
-    assert cells["a", "b"] == 0 and 0 < cells["a", "r"] <= 1
 
 
 def test_failed_and_repeated_courses(spark):

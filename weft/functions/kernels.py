@@ -81,7 +81,7 @@ def path_layout(a, b):
     return lay(a), lay(b)
 
 
-def path_order(a, b, improved: bool = False, reference_cells: bool = False, cells: int = 20_000_000):
+def path_order(a, b, improved: bool = False, cells: int = 20_000_000):
     """Course pairs of the union whose order differs; ``improved`` gives the share of pairs and
     reads a course missing on the left as "same" and missing on the right as "after"."""
     (pa, ha), (pb, hb) = path_layout(a, b)
@@ -96,11 +96,6 @@ def path_order(a, b, improved: bool = False, reference_cells: bool = False, cell
             if not len(use):
                 out[i, lo:hi] = 0.0 if not improved else np.nan
                 continue
-            if reference_cells:
-                for j in range(lo, hi):
-                    cols = np.flatnonzero(hb[j] | ha[i])
-                    out[i, j] = share_on_flipped_triangle(pa[i, cols], ha[i, cols], pb[j, cols], hb[j, cols])
-                continue
             r, c = np.triu_indices(len(use), 1)
             r, c = use[r], use[c]
             sa = np.sign(pa[i, r] - pa[i, c]).astype(np.int8)
@@ -118,34 +113,10 @@ def path_order(a, b, improved: bool = False, reference_cells: bool = False, cell
     return out
 
 
-def share_on_flipped_triangle(pa, ha, pb, hb) -> float:
-    """The share over cells (i, c) with c ≥ 1 and i + c ≤ n − 1 of the n × n order matrices."""
-    n = len(pa)
-    if n < 2:
-        return float("nan")
-
-    def matrix(p, h, fill):
-        m = np.sign(p[:, None] - p[None, :])
-        for k in np.flatnonzero(~h):
-            m[k, :] = fill
-            m[:, k] = fill
-            np.fill_diagonal(m, 0)
-        return m
-
-    differ = matrix(pa, ha, 0) != matrix(pb, hb, 1)
-    rows, cols = np.indices((n, n))
-    cell = (cols >= 1) & (rows + cols <= n - 1)
-    return float(differ[cell].mean())
-
-
 def path_order_share(a, b):
     return path_order(a, b, improved=True)
 
 
-def path_order_share_cells(a, b):
-    return path_order(a, b, improved=True, reference_cells=True)
-
-
 def path_gaps(a, b):
     """Differences of the two cumulative position distributions, per pair and semester."""
     (pa, ha), (pb, hb) = path_layout(a, b)
@@ -205,7 +176,6 @@ KERNELS = {
     "jaccard_set": jaccard_set,
     "order": path_order,
     "order_share": path_order_share,
-    "order_share_cells": path_order_share_cells,
     "path_emd": path_emd,
     "path_energy": path_energy,
 }

@@ -23,8 +23,8 @@ def words(text: Column) -> Column:
 
 
 def space_words(text: Column) -> Column:
-    """Split on single spaces, nothing else."""
-    return F.split(text, " ", -1)
+    """Lower-cased text split on single spaces, nothing else."""
+    return F.split(F.lower(text), " ", -1)
 
 
 def alpha_words(text: Column, stop: list[str] = STOP_WORDS) -> Column:

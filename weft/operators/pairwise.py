@@ -21,13 +21,12 @@ PAYLOAD = {
     "jaccard_set": ["words"],
     "order": ["courses", "pos", "n_sem"],
     "order_share": ["courses", "pos", "n_sem"],
-    "order_share_cells": ["courses", "pos", "n_sem"],
     "path_emd": ["courses", "pos", "n_sem"],
     "path_energy": ["courses", "pos", "n_sem"],
 }
 
 # Metrics whose value depends on which of the two items has the lower key.
-ORIENTED = {"order_share", "order_share_cells"}
+ORIENTED = {"order_share"}
 
 
 def block_count(n: int, block_rows: int, cores: int) -> int:

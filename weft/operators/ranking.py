@@ -169,11 +169,12 @@ def keyword_budget_select(rows: DataFrame, key: str, rank: str, keywords: str, b
             break
     if not takers:
         return rows.limit(0)
-    since = F.create_map(*[F.lit(x) for kv in added.items() for x in kv])
-    steps = F.array(*[F.lit(r) for r in added.values()])
+    kind = rows.schema[rank].dataType
+    since = F.create_map(*[x for w, r in added.items() for x in (F.lit(w), F.lit(r).cast(kind))])
+    steps = F.array(*[F.lit(r).cast(kind) for r in added.values()])
     known = F.forall(keywords, lambda w: F.coalesce(F.try_element_at(since, w) < F.col(rank), F.lit(False)))
     size = F.size(F.filter(steps, lambda s: s < F.col(rank)))
-    return rows.filter(F.col(rank).isin(takers) | (known & (size + F.size(keywords) <= budget)))
+    return rows.filter(F.col(rank).isin(*[F.lit(r).cast(kind) for r in takers]) | (known & (size + F.size(keywords) <= budget)))
 
 
 def token_context_features(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:

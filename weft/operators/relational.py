@@ -247,18 +247,16 @@ def doc_cluster_distribution(counts: DataFrame, doc: str, n: str, out: str = "sh
 
 
 def group_by_label_members(df: DataFrame, label: str, member: str) -> DataFrame:
-    """Members of every class plus the class ``all``, as a long table."""
+    """Members of every class plus the class ``all``, as a long table; a NULL label is a class of its own."""
     both = F.array(F.col(label).cast("string"), F.lit("all"))
     return df.select(F.explode(both).alias("class"), member)
 
 
 def label_sizes(df: DataFrame, label: str) -> DataFrame:
-    """Members and distinct members per class and one row for all classes together."""
-    return (
-        df.rollup(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.coalesce(F.col(label).cast("string"), F.lit("all")).alias("class"), "n")
-    )
+    """Members per class (NULL included) and one row for all classes together."""
+    name = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(label).cast("string"))
+    sizes = df.rollup(label).agg(F.count(F.lit(1)).alias("n"), F.grouping(label).alias("_all"))
+    return sizes.select(name.alias("class"), "n")
 
 
 def index_documents(tokens: DataFrame, word: str, vectors: DataFrame, vec: str) -> DataFrame:
@@ -284,7 +282,13 @@ def label_set_summary(docs: DataFrame, labels: str, wanted: str | None = None, m
 
 
 def median_of_runs(df: DataFrame, keys: list[str], x: str, out: str = "median") -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(x, 0.5).alias(out))
+    """The median of ``x`` per key: the middle one or two of its ordered values, so a key may hold any share of the rows."""
+    values = positions(df.filter(F.col(x).isNotNull()).select(*keys, x), keys, [x], "_p")
+    names = [f"_k{i}" for i in range(len(keys))]
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).toDF(*names, "_n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    middle = values.join(sizes, same).filter(F.col("_p").isin(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    return middle.groupBy(*keys).agg(F.avg(x).alias(out))
 
 
 def minmax_scale(df: DataFrame, x: str, out: str) -> DataFrame:

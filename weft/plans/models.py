@@ -23,6 +23,11 @@ from weft.session import cut
 from weft.streaming import streams
 
 
+def turn_key():
+    """A conversation turn by both its keys, as text: neither can run into the other."""
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 def spread(df, key, vec="z"):
     return df.select(key, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.round("x", 6))
 
@@ -30,7 +35,7 @@ def spread(df, key, vec="z"):
 def turns(spark, sf):
     """Conversation turns as short documents: (doc_id, tokens)."""
     c = table(spark, sf, "conversations").filter(F.col("text").isNotNull())
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), words(F.col("text")).alias("tokens"))
+    return c.select(turn_key().alias("doc_id"), words(F.col("text")).alias("tokens"))
 
 
 # ---------------------------------------------------------------- reduction
@@ -43,7 +48,7 @@ def svd(spark, sf):
 
 @query("svd_long")
 def svd_long(spark, sf):
-    tv = cut(V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term", min_df=2))
+    tv = cut(V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term"))
     return spread(D.svd_long(tv, "doc_id", "term", "w", 5, rounds=1), "doc_id")
 
 
@@ -54,15 +59,15 @@ def pca(spark, sf):
 
 @query("nmf")
 def nmf(spark, sf):
-    weights = V.tfidf_vectors(turns(spark, sf).select("doc_id", F.explode("tokens").alias("term")), "doc_id", "term", min_df=2)
-    rows, _, _ = D.nmf(weights, "doc_id", "term", "w", 4, rounds=3, track=False)
+    weights = V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term")
+    rows, _, _ = D.nmf(weights, "doc_id", "term", "w", 4, rounds=10, track=False)
     return spread(rows, "doc_id", "h")
 
 
 @query("lda")
 def lda(spark, sf):
     docs = corpus(spark, sf).select("doc_id", alpha_words(F.col("text")).alias("tokens"))
-    return spread(T.lda(docs, "doc_id", "tokens", 5, min_df=2.0, max_iter=5), "doc_id", "mixture")
+    return spread(T.lda(docs, "doc_id", "tokens", 5, max_iter=10), "doc_id", "mixture")
 
 
 @query("mds")
@@ -119,16 +124,16 @@ def density_sql(eps, pts):
   bo AS (SELECT i AS n, min(c) AS c FROM l JOIN cm ON cm.n = j WHERE i NOT IN (SELECT vec_id FROM co) GROUP BY i)"""
 
 
-@query("dbscan", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.5, 4)}
+@query("dbscan", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.68, 4)}
   SELECT vec_id, coalesce(cm.c, bo.c, -1) AS cluster, cm.n IS NOT NULL AS is_core FROM vx LEFT JOIN cm ON cm.n = vec_id LEFT JOIN bo ON bo.n = vec_id""")
 def dbscan(spark, sf):
-    return C.dbscan(vectors(spark, sf), "vec_id", "cosine", 0.5, 4)
+    return C.dbscan(vectors(spark, sf), "vec_id", "cosine", 0.68, 4)
 
 
-@query("density_bins", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.42, 3)}
+@query("density_bins", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.64, 3)}
   SELECT vec_id, coalesce(cm.c, bo.c, -1) AS cluster FROM vx LEFT JOIN cm ON cm.n = vec_id LEFT JOIN bo ON bo.n = vec_id""")
 def density_bins(spark, sf):
-    return C.density_bins(vectors(spark, sf), "vec_id", "v", 0.42, 3, metric="cosine")
+    return C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine")
 
 
 def tree(spark, sf):
@@ -169,14 +174,14 @@ def doc_bin_vectors(spark, sf):
 
 @query("word2vec")
 def word2vec(spark, sf):
-    model = T.word2vec(corpus(spark, sf).select(words(F.col("text")).alias("tokens")), "tokens", dim=16, min_count=5)
+    model = T.word2vec(corpus(spark, sf).select(words(F.col("text")).alias("tokens")), "tokens", dim=16)
     return spread(T.model_vectors(model), "word", "vector")
 
 
 @query("topic_run_grid")
 def topic_run_grid(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("text").isNotNull())
-    doc = (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")
+    doc = turn_key().alias("doc_id")
     texts = {"raw": c.select(doc, words(F.col("text")).alias("tokens")), "clean": c.select(doc, alpha_words(F.col("text")).alias("tokens"))}
     return T.topic_run_grid(texts, "doc_id", "tokens", dims=(4,), runs=2, rounds=2)
 
@@ -223,12 +228,12 @@ def labelled(spark, sf):
 
 @query("keyword_abstract_features")
 def keyword_abstract_features(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit(";")).alias("k"), "text")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.replace("text", F.lit(" "), F.lit(";")).alias("k"), "text")
     c = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.replace("text", F.lit(" "), F.lit(";")).alias("k"), "text"
+        turn_key().alias("item_id"), F.replace("text", F.lit(" "), F.lit(";")).alias("k"), "text"
     )
     got = Y.keyword_abstract_features({"bench": b, "turns": c}, "item_id", "k", "text", 4)
-    return got.select("dataset", "item_id", "keywords_processed", F.size("keyword_vector").alias("n_k"), F.size("abstract_vector").alias("n_a"))
+    return got.select("dataset", "item_id", "keywords_processed", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("keyword_vector", "abstract_vector")])
 
 
 @query("multilabel_classify")

@@ -195,9 +195,9 @@ def author_disjoint_select(spark, sf):
 
 
 @query("keyword_budget_select", f"""WITH RECURSIVE {NOVEL_SQL},
-  ks AS (SELECT pub, (pub * 48271 + 7) % 65521 * 100000000 + pub AS r, list(keyword) AS keys FROM pubs
+  ks AS (SELECT pub, CAST((pub * 48271 + 7) % 65521 AS HUGEINT) * 10000000000000000000 + pub AS r, list(keyword) AS keys FROM pubs
     WHERE year >= 1999 AND keyword IN (SELECT keyword FROM novel) GROUP BY pub),
-  walk AS (SELECT CAST(-1 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS have
+  walk AS (SELECT CAST(-1 AS HUGEINT) AS r, CAST([] AS VARCHAR[]) AS have
     UNION ALL SELECT n.r, list_distinct(list_concat(n.have, k.keys)) FROM (
       SELECT min(k.r) AS r, any_value(w.have) AS have FROM walk w JOIN ks k ON k.r > w.r AND len(w.have) + len(k.keys) <= 100
         AND NOT list_has_all(w.have, k.keys)) n JOIN ks k ON k.r = n.r),
@@ -208,7 +208,9 @@ def keyword_budget_select(spark, sf):
     test = p.filter("year >= 1999")
     novel = R.novel_keywords(test, p.filter("year < 1999"), "keyword")
     rows = K.keyword_lists(test.join(novel, "keyword", "left_semi"), "pub", "keyword")
-    rows = rows.withColumn("r", (F.col("pub") * 48271 + 7) % 65521 * 100000000 + F.col("pub"))
+    # both parts of the order in one number, wide enough that they can't meet
+    order = ((F.col("pub") * 48271 + 7) % 65521).cast("decimal(5,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("pub")
+    rows = cut(rows.withColumn("r", order.cast("decimal(38,0)")))
     return K.keyword_budget_select(rows, "pub", "r", "keys").select("pub")
 
 

@@ -10,6 +10,7 @@ from weft.operators.order import ordered_chunks
 from weft.operators.pairwise import block_truth, pairwise
 from weft.plans.registry import query, table
 from weft.plans.roles import (
+    WORD_VECTOR_SQL, word_vector_id,
     MAPPING_SQL, PUBS_SQL, SONG_ORDER, SONG_SQL, TOKENS_SQL, VECS_SQL, annotator, corpus, corpus_tokens, mapping,
     publications, song_tags, vectors,
 )
@@ -223,9 +224,9 @@ def distinct_counts(spark, sf):
 
 
 @query("group_concat_docs", f"""WITH {SONG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY l_linenumber, l_partkey, l_suppkey, tag) - 1 AS p FROM st)
-  SELECT song, CAST(p // 5 AS BIGINT) AS part, string_agg(tag, '.' ORDER BY p) AS doc FROM r GROUP BY song, p // 5""")
+  SELECT song, CAST(p // 10000 AS BIGINT) AS part, string_agg(tag, '.' ORDER BY p) AS doc FROM r GROUP BY song, p // 10000""")
 def group_concat_docs(spark, sf):
-    return R.group_concat_docs(song_tags(spark, sf), "song", "tag", SONG_ORDER, part_size=5)
+    return R.group_concat_docs(song_tags(spark, sf), "song", "tag", SONG_ORDER)
 
 
 @query("group_count", f"WITH {SONG_SQL} SELECT tag, count(*) AS n FROM st GROUP BY tag")
@@ -273,23 +274,25 @@ def doc_cluster_distribution(spark, sf):
 
 
 @query("group_by_label_members", """SELECT CAST(label AS VARCHAR) AS class, vec_id, cnt FROM embeddings
-    JOIN (SELECT label AS l, count(*) AS cnt FROM embeddings GROUP BY 1) ON l = label
+    JOIN (SELECT label AS l, count(*) AS cnt FROM embeddings GROUP BY 1) ON l IS NOT DISTINCT FROM label
   UNION ALL SELECT 'all', vec_id, (SELECT count(*) FROM embeddings) FROM embeddings""")
 def group_by_label_members(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     members = R.group_by_label_members(e, "label", "vec_id")
-    return members.join(R.label_sizes(e, "label").withColumnRenamed("n", "cnt"), "class")
+    sizes = R.label_sizes(e, "label").select(F.col("class").alias("_c"), F.col("n").alias("cnt"))
+    return members.join(sizes, F.col("class").eqNullSafe(F.col("_c"))).drop("_c")
 
 
 @query("index_documents", r"""WITH t AS (SELECT doc_id, unnest(m) AS w, generate_subscripts(m, 1) - 1 AS pos FROM
     (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM documents))
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, w, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, CAST(len(embedding) AS INTEGER) AS dim
-  FROM t JOIN embeddings ON length(w) = vec_id""")
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, w, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS v
+  FROM t JOIN embeddings ON vec_id = {WORD_VECTOR_SQL}""".replace("{WORD_VECTOR_SQL}", WORD_VECTOR_SQL))
 def index_documents(spark, sf):
     toks = corpus(spark, sf).select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "w"))
-    toks = toks.withColumn("vec_id", F.length("w").cast("bigint"))
+    toks = toks.withColumn("vec_id", word_vector_id(spark, sf))
     got = R.index_documents(toks, "vec_id", vectors(spark, sf), "v")
-    return got.select("doc_id", "pos", "w", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.size("v").alias("dim"))
+    millionths = F.transform("v", lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
+    return got.select("doc_id", "pos", "w", F.concat_ws(",", millionths).alias("v"))
 
 
 def order_labels(spark, sf):

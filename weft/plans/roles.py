@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weft.functions.text import words
 from weft.plans.registry import table
@@ -96,4 +96,12 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def word_vector_id(spark: SparkSession, sf: str) -> Column:
+    """The id of the stored vector that stands for the word ``w``: every vector may be hit."""
+    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    return ((F.length("w") * 31 + F.ascii("w")) % n).cast("bigint")
+
+
+WORD_VECTOR_SQL = "(length(w) * 31 + ascii(w)) % (SELECT count(*) FROM embeddings)"
+
 VECS_SQL = "vx AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"

@@ -68,14 +68,13 @@ def sink_json(spark, sf):
     return back.select("c_custkey", "rec.*")
 
 
-@query("sink_vectors_keyed", """SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS v0, round(CAST(embedding[32] AS DOUBLE), 6) AS v31,
-  round(CAST(embedding[64] AS DOUBLE), 6) AS v63 FROM embeddings""")
+@query("sink_vectors_keyed", "SELECT vec_id, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE), 6) AS v{k}" for k in range(64)) + " FROM embeddings")
 def sink_vectors_keyed(spark, sf):
     path = scratch_path(spark, "vectors.csv")
     tables.sink_vectors_keyed(vectors(spark, sf), path, "vec_id", "v", 64)
     schema = "vec_id bigint, " + ", ".join(f"v{k} double" for k in range(64))
     back = tables.scan_csv(spark, path, schema)
-    return back.select("vec_id", *[F.round(c, 6).alias(c) for c in ("v0", "v31", "v63")])
+    return back.select("vec_id", *[F.round(f"v{k}", 6).alias(f"v{k}") for k in range(64)])
 
 
 @query("sink_text", r"""SELECT array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), ' ') AS line
@@ -90,37 +89,11 @@ def sink_text(spark, sf):
 @query("model_save_load")
 def model_save_load(spark, sf):
     docs = corpus(spark, sf).select(words(F.col("text")).alias("t"))
-    stage = Word2Vec(vectorSize=8, windowSize=5, minCount=5, seed=1, maxIter=1, inputCol="t", outputCol="v")
+    stage = Word2Vec(vectorSize=8, windowSize=5, minCount=1, seed=1, maxIter=1, inputCol="t", outputCol="v")
     path = scratch_path(spark, "model")
     Pipeline(stages=[stage]).fit(docs).write().save(path)
     back = PipelineModel.load(path).stages[0]
-    return back.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
-
-
-# Id bands (thousandths), centres and jitter ranges of the synthetic regions.
-REGIONS = [
-    (0, 200, 10, 20, -7, 10, -10, 7),
-    (200, 400, 40, 60, -8, 2, -20, 12),
-    (400, 600, 50, 60, -8, 8, -20, 12),
-    (600, 800, 60, 60, -2, 10, -20, 12),
-    (800, 1000, 80, 70, -5, 5, -15, 15),
-]
-
-
-@query("synthetic_regions", f"""WITH spec(lo, hi, cx, cy, dxl, dxh, dyl, dyh) AS (VALUES {", ".join(map(str, REGIONS))}),
-  base AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS i FROM lineitem),
-  pts AS (SELECT i, cx + dxl + CAST(floor(((i * 48271 + 91) % 65521) / 7) AS BIGINT) % (dxh - dxl) AS x,
-      cy + dyl + CAST(floor(((i * 48271 + 707) % 65521) / 7) AS BIGINT) % (dyh - dyl) AS y FROM base JOIN spec ON i >= lo AND i < hi),
-  hol AS (SELECT i, y, CASE WHEN y > 50 AND y < 60 AND x BETWEEN 40 AND 49 THEN x + 2 * abs(x - 50)
-      WHEN y > 50 AND y < 60 AND x BETWEEN 51 AND 60 THEN x - 2 * abs(x - 50) ELSE x END AS x FROM pts)
-  SELECT i AS element, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(t AS INTEGER) AS t, i AS out FROM hol, range(0, 3) r(t)""")
-def synthetic_regions(spark, sf):
-    ids = table(spark, sf, "lineitem").select((F.col("l_partkey") % 1000).alias("element"))
-    rows = tables.synthetic_regions(ids, "element", REGIONS, inliers=True)
-    path = scratch_path(spark, "regions.json")
-    tables.sink_json(rows, path)
-    back = spark.read.schema(rows.schema).json(path)
-    return back.select("element", "params.x", "params.y", F.explode("data").alias("d")).select("element", "x", "y", "d.t", "d.out")
+    return back.getVectors().select("word", F.transform(vector_to_array("vector"), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("html_extract", r"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, trim(regexp_replace(replace(replace(replace(replace(replace(

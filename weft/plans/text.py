@@ -93,7 +93,7 @@ def sentences_with_context(spark, sf):
 def clean_tag_docs(spark, sf):
     tags = song_tags(spark, sf).withColumn("tag", F.concat(F.upper("tag"), F.lit("!")))
     keyed = tags.withColumn("k", F.concat_ws("|", F.col("song").cast("string"), (F.col("l_linenumber") < 4).cast("string")))
-    docs = group_concat_docs(keyed, "k", "tag", SONG_ORDER, part_size=1000)
+    docs = group_concat_docs(keyed, "k", "tag", SONG_ORDER)
     got = T.clean_tag_docs(docs.select("k", "doc"), ["k"], "doc")
     return got.select(
         F.substring_index("k", "|", 1).cast("bigint").alias("song"), (F.substring_index("k", "|", -1) == "true").alias("first"),
@@ -212,7 +212,7 @@ def cooccur_group(spark, sf):
     return C.cooccur_group(song_tags(spark, sf), "song", "tag").withColumn("weight", F.round("weight", 6))
 
 
-CONV_LISTS = r"SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM conversations"
+CONV_LISTS = r"SELECT concat_ws(':', conv_id, turn) AS doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM conversations"
 
 
 @query("word_vectors_per_doc", f"""WITH {WINDOW_SQL.format(src=CONV_LISTS)}, m AS (SELECT max(w) AS m FROM cw),
@@ -220,7 +220,7 @@ CONV_LISTS = r"SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(lower(
   u AS (SELECT w, CAST(sum(k) AS BIGINT) AS n_dims, sum(s) AS total FROM v GROUP BY w)
   SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, w, n_dims, round(total, 6) AS total FROM t JOIN u USING (w)""")
 def word_vectors_per_doc(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    c = table(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
     vecs = C.word_vectors(C.cooccur_window(c, X.words(F.col("text")))).withColumnRenamed("word", "w")
     packed = vecs.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("vec"))
     toks = T.token_table(c, "doc_id", X.words(F.col("text")), "w")

@@ -13,10 +13,15 @@ from weft.operators.relational import neighbour_stats_join as join_stats
 from weft.plans.ranking import DEDUP_SQL, JACC_SQL, TFIDF_SQL, distinct_sets
 from weft.plans.registry import query, table
 from weft.plans.relational import COS_SQL
-from weft.plans.roles import EXAMS_SQL, TOKENS_SQL, VECS_SQL, corpus, corpus_tokens, exams, vectors
+from weft.plans.roles import EXAMS_SQL, TOKENS_SQL, VECS_SQL, WORD_VECTOR_SQL, corpus, corpus_tokens, exams, vectors, word_vector_id
 from weft.session import cut
 
 
+def micro(v):
+    """A vector as text, in millionths."""
+    return F.concat_ws(",", F.transform(v, lambda x: F.round(x * 1000000).cast("bigint").cast("string")))
+
+
 def rounded(df, col, places=6):
     return df.withColumn(col, F.round(col, places))
 
@@ -31,7 +36,7 @@ def count_vectors(spark, sf):
     return rounded(V.count_vectors(toks, "doc_id", "term"), "w")
 
 
-@query("tfidf_vectors", """WITH tok AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents),
+@query("tfidf_vectors", """WITH tok AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   raw AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf))::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (term))
   SELECT doc_id, term, tf, df, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS w FROM raw""")
@@ -50,21 +55,21 @@ def tokenize_custom(spark, sf):
     return rounded(V.tfidf_vectors(toks, "doc_id", "term", min_df=2, max_df=0.5), "w").select("doc_id", "term", "w")
 
 
-@query("lookup_word_vectors", f"""WITH {TOKENS_SQL}, {VECS_SQL} SELECT doc_id, w, count(*) AS n, round(any_value(v[1]), 6) AS x0, round(any_value(v[64]), 6) AS x63
-  FROM tok JOIN vx ON vec_id = (length(w) * 31 + ascii(w)) % 500 GROUP BY ALL""")
+@query("lookup_word_vectors", f"""WITH {TOKENS_SQL}, {VECS_SQL} SELECT doc_id, w, count(*) AS n, array_to_string(list_transform(any_value(v), lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS v
+  FROM tok JOIN vx ON vec_id = {WORD_VECTOR_SQL} GROUP BY ALL""")
 def lookup_word_vectors(spark, sf):
     t = V.term_counts(corpus_tokens(spark, sf), "doc_id", "w").withColumnRenamed("tf", "n")
-    t = t.withColumn("vec_id", ((F.length("w") * 31 + F.ascii("w")) % 500).cast("bigint"))
+    t = t.withColumn("vec_id", word_vector_id(spark, sf))
     got = V.lookup_word_vectors(t, "vec_id", vectors(spark, sf), "v")
-    return got.select("doc_id", "w", "n", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.round(F.get("v", F.lit(63)), 6).alias("x63"))
+    return got.select("doc_id", "w", "n", micro("v").alias("v"))
 
 
 def word_vector_tokens(spark, sf):
     """Tokens named by the stored vector of their word."""
-    return corpus_tokens(spark, sf).select("doc_id", ((F.length("w") * 31 + F.ascii("w")) % 500).cast("bigint").alias("vec_id"))
+    return corpus_tokens(spark, sf).select("doc_id", word_vector_id(spark, sf).alias("vec_id"))
 
 
-WV_SQL = f"""{TOKENS_SQL}, {VECS_SQL}, wt AS (SELECT doc_id, (length(w) * 31 + ascii(w)) % 500 AS vec_id FROM tok),
+WV_SQL = f"""{TOKENS_SQL}, {VECS_SQL}, wt AS (SELECT doc_id, {WORD_VECTOR_SQL} AS vec_id FROM tok),
   wc AS (SELECT doc_id, vec_id, count(*) AS c FROM wt GROUP BY ALL), dims AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS d)"""
 
 
@@ -114,11 +119,11 @@ def dist_cosine(spark, sf):
 
 @query("dist_emd", f"""WITH {VECS_SQL}, s AS (SELECT vec_id, list_sort(v) AS s FROM vx),
   p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_avg(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) AS dist FROM s a JOIN s b ON a.vec_id < b.vec_id)
-  SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 0.025""")
+  SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 0.0105""")
 def dist_emd(spark, sf):
     # the means of two vectors differ by at most their distance, so only near ranges meet
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "emd", 0.025, mean, 0.025), "dist")
+    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "emd", 0.0105, mean, 0.0105), "dist")
 
 
 @query("dist_energy", f"""WITH {VECS_SQL}, c AS (SELECT vec_id, unnest(v) AS x FROM vx),
@@ -126,9 +131,12 @@ def dist_emd(spark, sf):
   m AS (SELECT i, j, x, 1.0 / 64 AS s FROM pr JOIN c ON vec_id = i UNION ALL SELECT i, j, x, -1.0 / 64 FROM pr JOIN c ON vec_id = j),
   g AS (SELECT i, j, x, sum(s::DOUBLE) OVER w AS f, lead(x) OVER w - x AS gap FROM m WINDOW w AS (PARTITION BY i, j ORDER BY x, s ROWS UNBOUNDED PRECEDING)),
   d AS (SELECT i, j, sqrt(2 * sum(f * f * gap)) AS dist FROM g GROUP BY ALL)
-  SELECT i, j, round(dist, 6) AS dist FROM d WHERE dist <= 0.08""")
+  SELECT i, j, round(dist, 6) AS dist FROM d WHERE dist <= 0.025""")
 def dist_energy(spark, sf):
-    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "energy", 0.08), "dist")
+    # sqrt(2 ∫(F − G)²) is at least sqrt(2 / L) times the difference of the means for values in a range
+    # of length L; the components of unit vectors lie in [−1, 1]
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
+    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "energy", 0.025, mean, 0.025), "dist")
 
 
 @query("dist_jaccard_set", f"""WITH {JACC_SQL} SELECT i, j, round(1 - c / (len(sa) + len(sb) - c), 6) AS dist FROM jp WHERE 1 - c / (len(sa) + len(sb) - c) <= 0.5""")
@@ -139,15 +147,15 @@ def dist_jaccard_set(spark, sf):
 @query("dist_jaccard_bits", f"""WITH {VECS_SQL}, b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0.1 THEN 1 ELSE 0 END) AS b FROM vx),
   p AS (SELECT x.vec_id AS i, y.vec_id AS j, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS ne,
     list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] + z[2] > 0 THEN 1 ELSE 0 END)) AS nz FROM b x JOIN b y ON x.vec_id < y.vec_id)
-  SELECT i, j, round(CASE WHEN nz > 0 THEN ne / nz ELSE 0 END, 6) AS dist FROM p WHERE CASE WHEN nz > 0 THEN ne / nz ELSE 0 END <= 0.6""")
+  SELECT i, j, round(CASE WHEN nz > 0 THEN ne / nz ELSE 0 END, 6) AS dist FROM p WHERE CASE WHEN nz > 0 THEN ne / nz ELSE 0 END <= 0.66""")
 def dist_jaccard_bits(spark, sf):
     bits = vectors(spark, sf).select("vec_id", F.transform("v", lambda x: (x > 0.1).cast("double")).alias("v"))
-    return rounded(P.radius_join(bits, "vec_id", "jaccard_bits", 0.6), "dist")
+    return rounded(P.radius_join(bits, "vec_id", "jaccard_bits", 0.66), "dist")
 
 
-@query("distance_options", f"""WITH {COS_SQL} SELECT i, j, round(1 - dist / (SELECT max(dist) FROM cp), 6) AS sim FROM cp WHERE dist <= 0.5""")
+@query("distance_options", f"""WITH {COS_SQL} SELECT i, j, round(1 - dist / (SELECT max(dist) FROM cp), 6) AS sim FROM cp WHERE dist <= 0.68""")
 def distance_options(spark, sf):
-    got = P.similarity_matrix(vectors(spark, sf), "vec_id", "cosine", as_distance=False, scaled=True, max_dist=0.5)
+    got = P.similarity_matrix(vectors(spark, sf), "vec_id", "cosine", as_distance=False, scaled=True, max_dist=0.68)
     return rounded(got, "sim")
 
 
@@ -156,16 +164,16 @@ def manhattan(a, b):
 
 
 @query("pairwise_custom", f"""WITH {VECS_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS dist
-    FROM vx a JOIN vx b ON a.vec_id < b.vec_id) SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 6""")
+    FROM vx a JOIN vx b ON a.vec_id < b.vec_id) SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 7.3""")
 def pairwise_custom(spark, sf):
-    return rounded(P.pairwise_custom(vectors(spark, sf), "vec_id", "v", manhattan, 6.0), "dist")
+    return rounded(P.pairwise_custom(vectors(spark, sf), "vec_id", "v", manhattan, 7.3), "dist")
 
 
 @query("radius_join", f"""WITH {VECS_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist
-    FROM vx a JOIN vx b ON a.vec_id < b.vec_id) SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 0.9""")
+    FROM vx a JOIN vx b ON a.vec_id < b.vec_id) SELECT i, j, round(dist, 6) AS dist FROM p WHERE dist <= 1.165""")
 def radius_join(spark, sf):
     # one coordinate differs by at most the Euclidean distance
-    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "euclidean", 0.9, F.get("v", F.lit(0)), 0.9), "dist")
+    return rounded(P.radius_join(vectors(spark, sf), "vec_id", "euclidean", 1.165, F.get("v", F.lit(0)), 1.165), "dist")
 
 
 @query("embedding_mean_distance", f"""WITH {COS_SQL}, m AS (SELECT max(dist) AS top FROM cp),
@@ -184,46 +192,46 @@ def embedding_radius_count(spark, sf):
     return rounded(got, "value")
 
 
-@query("threshold_graph", f"""WITH {COS_SQL}, e AS (SELECT i, j, dist FROM cp WHERE dist <= 0.5 AND dist <> 0),
+@query("threshold_graph", f"""WITH {COS_SQL}, e AS (SELECT i, j, dist FROM cp WHERE dist <= 0.66 AND dist <> 0),
   d AS (SELECT n, count(*) AS degree FROM (SELECT i AS n FROM e UNION ALL SELECT j FROM e) GROUP BY 1)
   SELECT i AS src, j AS dst, round(dist, 6) AS weight, a.degree AS deg_src, b.degree AS deg_dst FROM e JOIN d a ON a.n = i JOIN d b ON b.n = j""")
 def threshold_graph(spark, sf):
-    edges = P.threshold_graph_dist(P.pairwise(vectors(spark, sf), "vec_id", "cosine", 0.5), 0.5)
+    edges = P.threshold_graph_dist(P.pairwise(vectors(spark, sf), "vec_id", "cosine", 0.66), 0.66)
     deg = P.degrees(edges)
     return rounded(
         edges.join(deg.toDF("src", "deg_src"), "src").join(deg.toDF("dst", "deg_dst"), "dst"), "weight"
     ).select("src", "dst", "weight", "deg_src", "deg_dst")
 
 
-@query("block_truth_matrix", f"""WITH {COS_SQL} SELECT i, j, CAST(la <> lb AS INTEGER) AS truth FROM cp WHERE dist <= 0.6""")
+@query("block_truth_matrix", f"""WITH {COS_SQL} SELECT i, j, CAST(la <> lb AS INTEGER) AS truth FROM cp WHERE dist <= 0.68""")
 def block_truth_matrix(spark, sf):
     v = vectors(spark, sf)
-    return P.block_truth(P.pairwise(v, "vec_id", "cosine", 0.6), v, "vec_id", "label")
+    return P.block_truth(P.pairwise(v, "vec_id", "cosine", 0.68), v, "vec_id", "label")
 
 
-NB_SQL = f"""{COS_SQL}, nb AS (SELECT i AS item, j AS neighbour, 1 - dist AS sim FROM cp WHERE 1 - dist >= 0.55
-    UNION ALL SELECT j, i, 1 - dist FROM cp WHERE 1 - dist >= 0.55)"""
+NB_SQL = f"""{COS_SQL}, nb AS (SELECT i AS item, j AS neighbour, 1 - dist AS sim FROM cp WHERE 1 - dist >= 0.32
+    UNION ALL SELECT j, i, 1 - dist FROM cp WHERE 1 - dist >= 0.32)"""
 
 
 @query("neighbours_above", f"WITH {NB_SQL} SELECT item, neighbour, round(sim, 6) AS sim FROM nb")
 def neighbours_above(spark, sf):
-    return rounded(N.neighbours_above(vectors(spark, sf), "vec_id", "v", 0.55), "sim")
+    return rounded(N.neighbours_above(vectors(spark, sf), "vec_id", "v", 0.32), "sim")
 
 
-@query("neighbour_counts", f"""WITH {NB_SQL}, {TOKENS_SQL}, oc AS (SELECT (length(w) * 31 + ascii(w)) % 500 AS vec_id, count(*) AS n FROM tok GROUP BY 1),
+@query("neighbour_counts", f"""WITH {NB_SQL}, {TOKENS_SQL}, oc AS (SELECT {WORD_VECTOR_SQL} AS vec_id, count(*) AS n FROM tok GROUP BY 1),
   g AS (SELECT neighbour, CAST(sum(n) AS BIGINT) AS g FROM nb JOIN oc ON item = vec_id GROUP BY 1),
   s AS (SELECT item, count(*) AS s, string_agg(CAST(neighbour AS VARCHAR), ',' ORDER BY neighbour) AS l FROM nb GROUP BY 1)
   SELECT oc.vec_id AS vec_id, n AS count, n + coalesce(g, 0) AS is_neighbour_count, coalesce(s, 0) AS neighbour_count, CAST(0 AS BIGINT) AS part, coalesce(l, '') AS neighbours
   FROM oc LEFT JOIN g ON g.neighbour = oc.vec_id LEFT JOIN s ON s.item = oc.vec_id""")
 def neighbour_counts(spark, sf):
-    nb = cut(N.neighbours_above(vectors(spark, sf), "vec_id", "v", 0.55))
+    nb = cut(N.neighbours_above(vectors(spark, sf), "vec_id", "v", 0.32))
     counts = N.neighbour_counts(word_vector_tokens(spark, sf), "vec_id", nb)
     # a list of more than 10,000 neighbours goes on in a second row
     lists = N.neighbour_lists(nb).withColumnRenamed("item", "vec_id")
     return counts.join(lists, "vec_id", "left").na.fill({"neighbours": "", "part": 0})
 
 
-@query("neighbour_stats_join", f"""WITH {COS_SQL}, {TOKENS_SQL}, oc AS (SELECT (length(w) * 31 + ascii(w)) % 500 AS vec_id, count(*) AS n FROM tok GROUP BY 1),
+@query("neighbour_stats_join", f"""WITH {COS_SQL}, {TOKENS_SQL}, oc AS (SELECT {WORD_VECTOR_SQL} AS vec_id, count(*) AS n FROM tok GROUP BY 1),
   b AS (SELECT CASE WHEN i = 0 THEN j ELSE i END AS vec_id, round(1 - dist, 9) AS sim FROM cp WHERE i = 0 OR j = 0),
   t AS (SELECT * FROM b ORDER BY sim DESC, vec_id LIMIT 25) SELECT vec_id, round(sim, 6) AS sim, n FROM t JOIN oc USING (vec_id)""")
 def neighbour_stats_join(spark, sf):
@@ -302,31 +310,31 @@ ORDER_SQL = f"""{PATH_SQL}, {LOOKUP_SQL.format(on='a.path_id < b.path_id')},
 
 
 @query("path_dist_order", f"""WITH {ORDER_SQL} SELECT a AS i, b AS j, CAST(count(*) FILTER (WHERE sa <> sb) AS DOUBLE) AS dist FROM cp GROUP BY ALL
-  HAVING count(*) FILTER (WHERE sa <> sb) <= 380""")
+  HAVING count(*) FILTER (WHERE sa <> sb) <= 525""")
 def path_dist_order(spark, sf):
-    return H.path_distance(path_items(spark, sf), "order", max_dist=380)
+    return H.path_distance(path_items(spark, sf), "order", max_dist=525)
 
 
 @query("path_dist_order_improved", f"""WITH {ORDER_SQL}, d AS (SELECT a, b, avg(CASE WHEN CASE WHEN ha THEN sa ELSE 0 END <> CASE WHEN hb THEN sb ELSE 1 END THEN 1 ELSE 0 END) AS dist FROM cp GROUP BY ALL)
-  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.85""")
+  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.66""")
 def path_dist_order_improved(spark, sf):
-    return rounded(H.path_distance(path_items(spark, sf), "order_share", max_dist=0.85), "dist")
+    return rounded(H.path_distance(path_items(spark, sf), "order_share", max_dist=0.66), "dist")
 
 
 @query("path_dist_emd", f"""WITH {PATH_SQL}, {LOOKUP_SQL.format(on='a.path_id < b.path_id')},
   d AS (SELECT a, b, list_avg(list_transform(list_zip(list_sort(pa), list_sort(pb)), lambda z: abs(z[1] - z[2]))) AS dist FROM lk)
-  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.2""")
+  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.151""")
 def path_dist_emd(spark, sf):
-    return rounded(H.path_distance(path_items(spark, sf), "path_emd", max_dist=0.2 + 1e-12), "dist")
+    return rounded(H.path_distance(path_items(spark, sf), "path_emd", max_dist=0.151), "dist")
 
 
 ENERGY_SQL = f"""{PATH_SQL}, {LOOKUP_SQL.format(on='a.path_id < b.path_id')},
   d AS (SELECT a, b, sqrt(2 * list_sum(list_transform(range(0, 6), lambda t: power((len(list_filter(pa, lambda p: p <= t)) - len(list_filter(pb, lambda p: p <= t))) / len(u), 2)))) AS dist FROM lk)"""
 
 
-@query("path_dist_energy", f"WITH {ENERGY_SQL} SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.2")
+@query("path_dist_energy", f"WITH {ENERGY_SQL} SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.1225")
 def path_dist_energy(spark, sf):
-    return rounded(H.path_distance(path_items(spark, sf), "path_energy", max_dist=0.2 + 1e-12), "dist")
+    return rounded(H.path_distance(path_items(spark, sf), "path_energy", max_dist=0.1225), "dist")
 
 
 @query("path_dist_matrix", f"""WITH {ENERGY_SQL} SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d UNION ALL SELECT b, a, round(dist, 6) FROM d""")

@@ -70,37 +70,3 @@ def sink_vectors_keyed(df: DataFrame, path: str, key: str, vector: str, dim: int
 def sink_text(df: DataFrame, path: str, tokens: str) -> None:
     """One line per document, tokens joined by spaces."""
     df.select(F.concat_ws(" ", tokens).alias("value")).write.text(path)
-
-
-def synthetic_regions(
-    ids: DataFrame, key: str, spec: list[tuple[int, int, int, int, int, int, int, int]], steps: int = 3,
-    seed: int = 7, inliers: bool = False,
-) -> DataFrame:
-    """One element per id: a small time series and a point around the centre of its id band.
-
-    ``spec`` rows are (lo, hi, cx, cy, dx_lo, dx_hi, dy_lo, dy_hi); jitter is a seeded integer
-    hash of the id, so the result does not depend on partitioning. ``inliers`` hollows the
-    window 40..60 × 50..60. The bands are a short literal list, so no join is needed.
-    """
-    i = F.col(key)
-
-    def jitter(lo: Column, hi: Column, salt: int) -> Column:
-        return lo + F.pmod(F.floor((i * 48271 + seed * salt) % 65521 / 7), hi - lo).cast("bigint")
-
-    def pick(n: int) -> Column:
-        return F.coalesce(*[F.when((i >= s[0]) & (i < s[1]), F.lit(s[n]).cast("bigint")) for s in spec])
-
-    x = pick(2) + jitter(pick(4), pick(5), 13)
-    y = pick(3) + jitter(pick(6), pick(7), 101)
-    pts = ids.select(key, x.alias("x"), y.alias("y"))
-    if inliers:
-        inside = (F.col("y") > 50) & (F.col("y") < 60)
-        gap = 2 * F.abs(F.col("x") - 50)
-        pts = pts.withColumn(
-            "x",
-            F.when(inside & F.col("x").between(40, 49), F.col("x") + gap)
-            .when(inside & F.col("x").between(51, 60), F.col("x") - gap)
-            .otherwise(F.col("x")),
-        )
-    data = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.struct(t.alias("t"), i.alias("out")))
-    return pts.select(key, data.alias("data"), F.struct("x", "y").alias("params"))
