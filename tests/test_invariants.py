@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import text as X
+from weft.operators import classify as Y
 from weft.operators import clustering as C
 from weft.operators import hmm as M
 from weft.operators import neighbours as N
@@ -19,9 +20,11 @@ from weft.operators import relational as R
 from weft.operators import textops as T
 from weft.operators import topics as TP
 from weft.operators import vectors as V
+from weft.operators.cooccur import cooccur_group
 from weft.operators.order import positions
 from weft.operators.pairwise import nearest, pairwise
 from weft.session import scratch_path
+from weft.sources import html
 from weft.streaming import streams
 
 
@@ -243,17 +246,61 @@ def test_dbscan_chain_noise_and_row_order(spark):
         assert {got[i] for i in range(30)} == {1} and got[40] == -1 and got[50] == -1
 
 
+def merged_pair_by_pair(d):
+    """Heights and memberships of weighted average linkage, the nearest pair first."""
+    d, members, out = d.copy(), {i: {i} for i in range(len(d))}, []
+    np.fill_diagonal(d, np.inf)
+    while len(members) > 1:
+        live = sorted(members)
+        i, j = min(((a, b) for n, a in enumerate(live) for b in live[n + 1:]), key=lambda p: d[p])
+        out.append((float(d[i, j]), frozenset(members[i] | members[j])))
+        members[i] |= members.pop(j)
+        mean = (d[i] + d[j]) / 2
+        d[i], d[:, i] = mean, mean
+        d[i, i] = np.inf
+    return out
+
+
 def test_linkage_in_rounds_equals_pair_by_pair(spark):
     x, df = random_vectors(spark, 40)
-    pairs = pairwise(df, "id", "euclidean")
-    a, pa = C.linkage_weighted(pairs, df, "id", last=4)
-    b, pb = C.linkage_weighted(pairs, df, "id", last=64)
-    heights = [sorted(round(r["height"], 9) for r in m.collect()) for m in (a, b)]
-    assert heights[0] == heights[1] and len(heights[0]) == 39
+    merges, path = C.linkage_weighted(pairwise(df, "id", "euclidean"), df, "id")
+    want = merged_pair_by_pair(np.linalg.norm(x[:, None] - x[None], axis=2))
+    assert sorted(round(r["height"], 9) for r in merges.collect()) == sorted(round(h, 9) for h, _ in want)
+    under = {}
+    for r in path.collect():
+        for m in r["merges"]:
+            under.setdefault(m, set()).add(r["id"])
+    assert {frozenset(s) for s in under.values()} == {s for _, s in want}
     for k in (1, 3, 40):
-        sizes = [sorted(r["count"] for r in C.flat_clusters(m, p, "id", k).groupBy("cluster").count().collect()) for m, p in ((a, pa), (b, pb))]
-        assert sizes[0] == sizes[1] and len(sizes[0]) == k
-    assert 0 < C.cophenetic_corr(df, "id", "euclidean", pa).first()["corr"] <= 1
+        assert C.flat_clusters(merges, path, "id", k).select("cluster").distinct().count() == k
+    assert 0 < C.cophenetic_corr(df, "id", "euclidean", path).first()["corr"] <= 1
+
+
+def test_linkage_leaves_out_items_without_distances(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [0.1, 1.0])]
+    df = frame(spark, rows, "id bigint, v array<double>")
+    merges, path = C.linkage_weighted(pairwise(df, "id", "cosine"), df, "id")
+    heights = sorted(r["height"] for r in merges.collect())
+    assert len(heights) == 2 and all(h == h for h in heights)
+    assert {r["id"]: len(r["merges"]) for r in path.collect()} == {0: 0, 1: 2, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_scaling_equals_the_full_decomposition(spark, metric):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6)) * [9, 5, 1, 1, 0.5, 0.3]
+    df = frame(spark, [(i, r.tolist()) for i, r in enumerate(x)], "id bigint, v array<double>")
+    if metric == "euclidean":
+        d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    else:
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - u @ u.T
+    centre = np.eye(120) - 1 / 120
+    vals, vecs = np.linalg.eigh(-0.5 * centre @ d**2 @ centre)
+    want = vecs[:, ::-1][:, :2] * np.sqrt(vals[::-1][:2])
+    got = np.array([r["z"] for r in D.mds(df, "id", "v", 2, metric).orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-5)
+    assert np.allclose(np.linalg.norm(got[:, None] - got[None], axis=2), np.linalg.norm(want[:, None] - want[None], axis=2), atol=1e-5)
 
 
 def test_affinity_finds_two_groups(spark):
@@ -343,3 +390,62 @@ def test_stream_filter_equals_batch_over_several_files(spark):
     want = M.hmm_forward(frame(spark, rows, "k string, t int, sym int"), "k", ["t"], "sym", DIE).collect()
     key = lambda r: (r["k"], r["step"])
     assert np.allclose([r["f"] for r in sorted(got, key=key)], [r["f"] for r in sorted(want, key=key)])
+
+
+# ---------------------------------------------------------------- edge cases
+
+
+def test_cooccurrence_of_a_large_group(spark):
+    rows = spark.range(6000).select(F.lit(1).alias("g"), F.col("id").alias("x")).unionByName(spark.range(2).select(F.lit(2).alias("g"), F.col("id").alias("x")))
+    sums = cooccur_group(rows, "g", "x")
+    assert sums.filter("a < 3 AND b < 3").count() == 6
+    assert {(r["a"], r["b"]): r["weight"] for r in sums.filter("a < 2 AND b < 2").collect()} == {(0, 1): 1.0, (1, 0): 1.0}
+
+
+def test_a_class_without_a_name(spark):
+    df = frame(spark, [(1, "a"), (2, "a"), (3, None)], "m int, c string")
+    sizes = {r["class"]: r["n"] for r in R.label_sizes(df, "c").collect()}
+    assert sizes == {"a": 2, None: 1, "all": 3}
+    members = R.group_by_label_members(df, "c", "m").groupBy("class").count().collect()
+    assert {r["class"]: r["count"] for r in members} == sizes
+
+
+def test_terms_fold_case(spark):
+    df = frame(spark, [(1, "Spark spark SPARK"), (2, None), (3, "")], "d int, t string")
+    rows = V.tfidf_vectors(V.tokenize_custom(df, "d", "t", X.space_words), "d", "term").collect()
+    assert {(r["d"], r["term"], r["tf"]) for r in rows} == {(1, "spark", 3), (3, "", 1)}
+
+
+def test_html_by_class_and_nesting(spark):
+    page = (
+        '<div id="x" class="ad">A</div><div class="big ad">B &amp; b<div>C</div>D</div><p class="ad">no</p><div class="bad">no</div>'
+        "<div class='ad'>E<div class=ad>F</div></div><a data-href='/no' href='/yes.pdf'>x</a><A HREF=/two.pdf>y</A><link href='/no.pdf'>"
+    )
+    df = frame(spark, [(1, page), (2, None), (3, "")], "k int, h string")
+    got = [(r["k"], r["pos"], r["text"]) for r in html.html_extract(df, "k", "h", "div", "ad").orderBy("k", "pos").collect()]
+    assert got == [(1, 0, "A"), (1, 1, "B & b C D"), (1, 2, "E F"), (1, 3, "F")]
+    links = [(r["link"], r["file"]) for r in html.html_links(df, "k", "h", ".", ".pdf").orderBy("pos").collect()]
+    assert links == [("/yes.pdf", "yes.pdf"), ("/two.pdf", "two.pdf")]
+
+
+def test_median_of_a_hot_key(spark):
+    rows = [("hot", float(i)) for i in range(999)] + [("even", 1.0), ("even", 4.0), ("none", None), (None, 7.0)]
+    got = {r["k"]: r["median"] for r in R.median_of_runs(frame(spark, rows, "k string, x double"), ["k"], "x").collect()}
+    assert got == {"hot": 499.0, "even": 2.5, None: 7.0}
+
+
+def test_prototypes_in_several_blocks(spark):
+    x, df = random_vectors(spark, 60)
+    named = df.withColumn("label", F.col("id") % 7)
+    centres = Y.class_centres(named, "v", "label")
+    one = {(r["id"], r["label"]): r["sim"] for r in Y.prototype_similarities(named, "id", "v", centres, "label").collect()}
+    two = {(r["id"], r["label"]): r["sim"] for r in Y.prototype_similarities(named, "id", "v", centres, "label", block=2).collect()}
+    assert one == two and len(one) == 420
+    assert Y.mean_similarity(named, "v", centres) == pytest.approx(np.mean(list(one.values())))
+
+
+def test_clusters_become_document_histograms(spark):
+    clusters = frame(spark, [(1, 40), (2, 40), (3, 7), (4, -1)], "w int, cluster int")
+    words = frame(spark, [("d", 1), ("d", 2), ("d", 3), ("d", 4), ("e", 4), ("f", 3), ("f", 9)], "doc string, w int")
+    got = {(r["doc"], r["cluster"]): (r["n"], r["share"]) for r in C.doc_bins(words, "doc", "w", clusters).collect()}
+    assert got == {("d", 0): (1, 0.0), ("d", 1): (2, 1.0), ("f", 0): (1, 1.0), ("f", 1): (0, 0.0)}

@@ -281,6 +281,31 @@ def block_truth(pairs: DataFrame, labels: DataFrame, key: str, label: str) -> Da
     return pairs.join(a, "i").join(b, "j").select("i", "j", (F.col("_la") != F.col("_lb")).cast("int").alias("truth"))
 
 
+def abs_error_blocks(items: DataFrame, key: str, metric: str, label: str, block_rows: int = 1000) -> DataFrame:
+    """Mean and sum of abs(distance − truth) over all pairs, truth being 1 for pairs of different label.
+
+    Every block pair emits two numbers; no pair is written. Pairs without a distance are left out.
+    The full symmetric matrix has twice the sum and, with its zero diagonal, n² cells.
+    """
+    kernel, payload = KERNELS[metric], PAYLOAD.get(metric, ["v"])
+
+    def task(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = kernel({c: a[c].to_numpy() for c in payload}, {c: b[c].to_numpy() for c in payload})
+        err = np.abs(d - (a[label].to_numpy()[:, None] != b[label].to_numpy()[None, :]))
+        keep = ~np.isnan(err)
+        if same:
+            keep &= a[key].to_numpy()[:, None] < b[key].to_numpy()[None, :]
+        return pd.DataFrame({"n": [int(keep.sum())], "s": [float(err[keep].sum())]})
+
+    sums = block_tasks(items.select(key, *payload, label), key, task, "n bigint, s double", block_rows)
+    size = items.agg(F.count(F.lit(1))).scalar()
+    total = sums.agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("sum_abs"))
+    return total.select(
+        (F.col("sum_abs") / F.col("n_pairs")).alias("mean_abs"), "sum_abs", "n_pairs",
+        (2 * F.col("sum_abs")).alias("matrix_sum"), (2 * F.col("sum_abs") / (size * size)).alias("matrix_mean"),
+    )
+
+
 def embedding_mean_distance(embeddings: dict[str, DataFrame], key: str, metric: str, probabilistic: bool = False) -> DataFrame:
     """Per model and item the mean scaled distance to all items, the zero to itself included."""
     from functools import reduce

@@ -13,10 +13,11 @@ from weft.operators import reduction as D
 from weft.operators import topics as T
 from weft.operators import vectors as V
 from weft.operators.pairwise import pairwise
+from weft.operators.ranking import shuffle_splits
 from weft.plans.registry import query, table
 from weft.plans.relational import COS_SQL, FIRST_SQL, small_if
 from weft.plans.roles import (
-    MAPPING_SQL, SONG_SQL, TOKENS_SQL, VECS_SQL, annotator, corpus, corpus_tokens, mapping, song_tags, vectors,
+    MAPPING_SQL, SONG_SQL, TOKENS_SQL, VECS_SQL, WORD_VECTOR_SQL, annotator, corpus, corpus_tokens, mapping, song_tags, vectors,
 )
 from weft.plans.vectors import word_vector_tokens
 from weft.session import cut
@@ -95,24 +96,36 @@ def scree_table(spark, sf):
 # ---------------------------------------------------------------- clusters
 
 
+def doc_bins(spark, sf, clusters):
+    """Clusters of the word vectors as a histogram per document."""
+    words_in = word_vector_tokens(spark, sf)
+    return C.doc_bins(words_in, "doc_id", "vec_id", cut(clusters.select("vec_id", "cluster"))).withColumn("share", F.round("share", 6))
+
+
 @query("kmeans_bins")
 def kmeans_bins(spark, sf):
-    return C.kmeans_bins(vectors(spark, sf), "vec_id", "v", 10)
+    return doc_bins(spark, sf, C.kmeans_bins(vectors(spark, sf), "vec_id", "v", 10))
 
 
 @query("gmm_bins")
 def gmm_bins(spark, sf):
-    return C.gmm_bins(vectors(spark, sf), "vec_id", "v", 5, 4)
+    return doc_bins(spark, sf, C.gmm_bins(vectors(spark, sf), "vec_id", "v", 5, 4))
 
 
 @query("hierarchical_bins")
 def hierarchical_bins(spark, sf):
-    return C.hierarchical_bins(vectors(spark, sf), "vec_id", "v", 10)
+    return doc_bins(spark, sf, C.hierarchical_bins(vectors(spark, sf), "vec_id", "v", 10))
 
 
 @query("affinity_bins")
 def affinity_bins(spark, sf):
-    return C.affinity_bins(vectors(spark, sf), "vec_id", "v", rounds=15)
+    return doc_bins(spark, sf, C.affinity_bins(vectors(spark, sf), "vec_id", "v"))
+
+
+HISTOGRAM_SQL = """c AS (SELECT doc_id, cluster, count(*) AS n FROM b GROUP BY ALL),
+  z AS (SELECT d.doc_id AS doc_id, CAST(k AS INTEGER) AS cluster, coalesce(n, 0) AS n FROM (SELECT DISTINCT doc_id FROM b) d CROSS JOIN (SELECT unnest(range(0, {k})) AS k) r
+  LEFT JOIN c ON c.doc_id = d.doc_id AND c.cluster = k), m AS (SELECT doc_id, min(n) AS lo, sum(n) AS s FROM z GROUP BY doc_id)
+  SELECT z.doc_id AS doc_id, cluster, n, round(CASE WHEN s - {k} * lo > 0 THEN (n - lo)::DOUBLE / (s - {k} * lo)::DOUBLE END, 6) AS share FROM z JOIN m ON z.doc_id = m.doc_id"""
 
 
 def density_sql(eps, pts):
@@ -131,9 +144,11 @@ def dbscan(spark, sf):
 
 
 @query("density_bins", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.64, 3)}
-  SELECT vec_id, coalesce(cm.c, bo.c, -1) AS cluster FROM vx LEFT JOIN cm ON cm.n = vec_id LEFT JOIN bo ON bo.n = vec_id""")
+  , cl AS (SELECT vec_id, coalesce(cm.c, bo.c) AS c FROM vx LEFT JOIN cm ON cm.n = vec_id LEFT JOIN bo ON bo.n = vec_id WHERE coalesce(cm.c, bo.c) IS NOT NULL),
+  nu AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT c FROM cl)), {TOKENS_SQL},
+  b AS (SELECT doc_id, cluster FROM (SELECT doc_id, {WORD_VECTOR_SQL} AS vec_id FROM tok) JOIN cl USING (vec_id) JOIN nu USING (c)), {HISTOGRAM_SQL.format(k='(SELECT count(*) FROM nu)')}""")
 def density_bins(spark, sf):
-    return C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine")
+    return doc_bins(spark, sf, C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine"))
 
 
 def tree(spark, sf):
@@ -155,14 +170,10 @@ def cophenetic_corr(spark, sf):
 @query("flat_clusters")
 def flat_clusters(spark, sf):
     _, merges, ancestry = tree(spark, sf)
-    return C.flat_clusters(merges, ancestry, "vec_id", 10)
+    return doc_bins(spark, sf, C.flat_clusters(merges, ancestry, "vec_id", 10))
 
 
-@query("doc_bin_vectors", f"""WITH {TOKENS_SQL}, b AS (SELECT doc_id, length(w) % 7 - 1 AS cluster FROM tok WHERE length(w) % 7 > 0),
-  c AS (SELECT doc_id, cluster, count(*) AS n FROM b GROUP BY ALL),
-  z AS (SELECT d.doc_id AS doc_id, CAST(k AS INTEGER) AS cluster, coalesce(n, 0) AS n FROM (SELECT DISTINCT doc_id FROM b) d, range(0, 6) r(k)
-  LEFT JOIN c ON c.doc_id = d.doc_id AND c.cluster = k), m AS (SELECT doc_id, min(n) AS lo, sum(n) AS s FROM z GROUP BY doc_id)
-  SELECT z.doc_id AS doc_id, cluster, n, round(CASE WHEN s - 6 * lo > 0 THEN (n - lo)::DOUBLE / (s - 6 * lo)::DOUBLE END, 6) AS share FROM z JOIN m ON z.doc_id = m.doc_id""")
+@query("doc_bin_vectors", f"""WITH {TOKENS_SQL}, b AS (SELECT doc_id, length(w) % 7 - 1 AS cluster FROM tok WHERE length(w) % 7 > 0), {HISTOGRAM_SQL.format(k=6)}""")
 def doc_bin_vectors(spark, sf):
     toks = corpus_tokens(spark, sf)
     given = toks.select("w").distinct().withColumn("cluster", F.length("w") % 7 - 1)
@@ -236,10 +247,16 @@ def keyword_abstract_features(spark, sf):
     return got.select("dataset", "item_id", "keywords_processed", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("keyword_vector", "abstract_vector")])
 
 
+def apart(rows):
+    """Training and test rows: a tenth is held out."""
+    split = cut(shuffle_splits(rows, "doc_id", 1))
+    return split.filter("test_0 = 0").drop("test_0"), split.filter("test_0 = 1").drop("test_0")
+
+
 @query("multilabel_classify")
 def multilabel_classify(spark, sf):
-    rows = labelled(spark, sf)
-    return Y.multilabel_classify(rows, rows, "doc_id", "v", ["quality", "toxic"], params={"maxIter": 10})
+    train, test = apart(labelled(spark, sf))
+    return Y.multilabel_classify(train, test, "doc_id", "v", ["quality", "toxic"])
 
 
 @query("classifier_grid")
@@ -251,8 +268,8 @@ def classifier_grid(spark, sf):
 
 @query("classifier_chain")
 def classifier_chain(spark, sf):
-    rows = labelled(spark, sf)
-    return Y.classifier_chain(rows, rows, "doc_id", "v", ["quality", "toxic"], params={"maxIter": 10})
+    train, test = apart(labelled(spark, sf))
+    return Y.classifier_chain(train, test, "doc_id", "v", ["quality", "toxic"])
 
 
 PROTO_SQL = f"""{VECS_SQL}, dm AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS d), ce AS (SELECT label, d, avg(v[d]) AS x FROM vx, dm GROUP BY ALL),

@@ -236,26 +236,31 @@ def group_comp(spark, sf):
 
 
 JACC_SQL = r"""sets AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS s FROM documents),
-  reps AS (SELECT min(doc_id) AS id, s, count(*) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+  reps AS (SELECT min(doc_id) AS id, s, count(*) AS n FROM sets GROUP BY s),
+  copies AS (SELECT id AS i, doc_id AS j, sets.s AS s FROM sets JOIN reps ON reps.s = sets.s WHERE doc_id <> id),
   jp AS (SELECT a.id AS i, b.id AS j, a.s AS sa, b.s AS sb, len(list_intersect(a.s, b.s)) AS c FROM reps a JOIN reps b ON a.id < b.id
     AND least(len(a.s), len(b.s)) >= 0.5 * greatest(len(a.s), len(b.s)))"""
 
 
 def distinct_sets(spark, sf):
-    """Distinct word sets: (doc_id of the first copy, s, n_copies)."""
+    """Distinct word sets (doc_id of the first copy, s, n_copies), and the other copies (i, j, s): j has the set of i."""
     sets = corpus(spark, sf).select("doc_id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("s"))
-    return cut(fold_copies(sets.filter(F.size("s") > 0), "doc_id", ["s"])[0])
+    reps, members = fold_copies(cut(sets), "doc_id", ["s"])
+    reps = cut(reps)
+    copies = members.filter("doc_id <> rep").select(F.col("rep").alias("i"), F.col("doc_id").alias("j"))
+    return reps, copies.join(reps.select(F.col("doc_id").alias("i"), "s"), "i")
 
 
 @query("pair_word_overlap", f"""WITH {JACC_SQL} SELECT i, j, c AS n_common, CAST(len(sa) - c AS BIGINT) AS n_missing,
     array_to_string(list_sort(list_filter(sa, lambda x: NOT list_contains(sb, x))), ' ') AS missing
-  FROM jp WHERE 1 - c / (len(sa) + len(sb) - c) <= 0.5""")
+  FROM jp WHERE len(sa) > 0 AND 1 - c / (len(sa) + len(sb) - c) <= 0.5 UNION ALL SELECT i, j, len(s), 0, '' FROM copies""")
 def pair_word_overlap(spark, sf):
-    sets = distinct_sets(spark, sf)
+    sets, copies = distinct_sets(spark, sf)
     pairs = jaccard_join(sets, "doc_id", "s", 0.5).select("i", "j")
     got = S.pair_word_overlap(pairs, "i", "j", sets, "doc_id", "s")
-    return got.select("i", "j", F.size("common").cast("bigint").alias("n_common"), F.size("missing").cast("bigint").alias("n_missing"),
-                      F.concat_ws(" ", "missing").alias("missing"))
+    size = lambda c: F.size(c).cast("bigint")
+    found = got.select("i", "j", size("common").alias("n_common"), size("missing").alias("n_missing"), F.concat_ws(" ", "missing").alias("missing"))
+    return found.unionByName(copies.select("i", "j", size("s").alias("n_common"), F.lit(0).cast("bigint").alias("n_missing"), F.lit("").alias("missing")))
 
 
 @query("cluster_word_sets", f"""WITH {TOKENS_SQL}, x AS (SELECT DISTINCT length(w) % 6 AS cluster, lang, w FROM tok JOIN documents USING (doc_id)),

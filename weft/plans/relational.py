@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import remove_value, words
 from weft.operators import relational as R
 from weft.operators.order import ordered_chunks
-from weft.operators.pairwise import block_truth, pairwise
+from weft.operators.pairwise import abs_error_blocks
 from weft.plans.registry import query, table
 from weft.plans.roles import (
     WORD_VECTOR_SQL, word_vector_id,
@@ -351,11 +351,7 @@ COS_SQL = f"""{VECS_SQL}, u AS (SELECT vec_id, label, v, sqrt(list_sum(list_tran
   SELECT round(avg(x), 6) AS mean_abs, round(sum(x), 4) AS sum_abs, count(*) AS n_pairs, round(2 * sum(x), 4) AS matrix_sum,
     round(2 * sum(x) / ((SELECT count(*) FROM vx) * (SELECT count(*) FROM vx)), 6) AS matrix_mean FROM e""")
 def abs_error_summary(spark, sf):
-    v = vectors(spark, sf)
-    pairs = pairwise(v, "vec_id", "cosine")
-    truth = block_truth(pairs, v, "vec_id", "label")
-    n = v.agg(F.count(F.lit(1))).scalar()
-    got = R.abs_error_summary(pairs, truth, ["i", "j"], "dist", "truth", n)
+    got = abs_error_blocks(vectors(spark, sf), "vec_id", "cosine", "label")
     places = {"mean_abs": 6, "sum_abs": 4, "matrix_sum": 4, "matrix_mean": 6}
     return got.select("n_pairs", *[F.round(c, p).alias(c) for c, p in places.items()])
 

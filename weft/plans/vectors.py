@@ -105,16 +105,21 @@ def all_pairs(spark, sf):
   reps AS (SELECT min(doc_id) AS id, count(*) AS n FROM sg GROUP BY s),
   p AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.x * b.x) AS sim FROM tv a JOIN tv b ON a.w = b.w AND a.doc_id < b.doc_id
     WHERE a.doc_id IN (SELECT id FROM reps) AND b.doc_id IN (SELECT id FROM reps) GROUP BY ALL)
-  SELECT i, j, round(1 - sim, 6) AS dist, x.n AS n_i, y.n AS n_j FROM p JOIN reps x ON x.id = i JOIN reps y ON y.id = j WHERE sim >= 0.7""")
+  SELECT i, j, round(1 - sim, 6) AS dist, x.n AS n_i, y.n AS n_j FROM p JOIN reps x ON x.id = i JOIN reps y ON y.id = j WHERE sim >= 0.7
+  UNION ALL SELECT id, doc_id, 0, n, n FROM sg JOIN (SELECT min(doc_id) AS id, count(*) AS n, s FROM sg GROUP BY s) USING (s) WHERE doc_id <> id""")
 def dist_cosine(spark, sf):
-    """Distinct documents at a cosine distance of at most 0.3, with the number of copies of each."""
+    """Distinct documents at a cosine distance of at most 0.3, with the number of copies of each; then every further
+    copy at distance 0 of its first one."""
     tv = cut(V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term"))
-    reps = cut(N.fold_weighted(tv, "doc_id", "term", "tf")[0])
+    reps, members = N.fold_weighted(tv, "doc_id", "term", "tf")
+    reps = cut(reps)
+    copies = members.filter("doc_id <> rep").join(reps.toDF("rep", "n"), "rep")
     kept = tv.join(reps, "doc_id", "left_semi")
     pairs = N.cosine_join(kept, "doc_id", "term", "w", "df", 0.7)
-    return pairs.join(reps.toDF("i", "n_i"), "i").join(reps.toDF("j", "n_j"), "j").select(
+    found = pairs.join(reps.toDF("i", "n_i"), "i").join(reps.toDF("j", "n_j"), "j").select(
         "i", "j", F.round(1 - F.col("sim"), 6).alias("dist"), "n_i", "n_j"
     )
+    return found.unionByName(copies.select(F.col("rep").alias("i"), F.col("doc_id").alias("j"), F.lit(0.0).alias("dist"), F.col("n").alias("n_i"), F.col("n").alias("n_j")))
 
 
 @query("dist_emd", f"""WITH {VECS_SQL}, s AS (SELECT vec_id, list_sort(v) AS s FROM vx),
@@ -139,9 +144,12 @@ def dist_energy(spark, sf):
     return rounded(P.radius_join(vectors(spark, sf), "vec_id", "energy", 0.025, mean, 0.025), "dist")
 
 
-@query("dist_jaccard_set", f"""WITH {JACC_SQL} SELECT i, j, round(1 - c / (len(sa) + len(sb) - c), 6) AS dist FROM jp WHERE 1 - c / (len(sa) + len(sb) - c) <= 0.5""")
+@query("dist_jaccard_set", f"""WITH {JACC_SQL} SELECT i, j, round(1 - c / (len(sa) + len(sb) - c), 6) AS dist FROM jp WHERE len(sa) > 0 AND 1 - c / (len(sa) + len(sb) - c) <= 0.5
+  UNION ALL SELECT i, j, 0 FROM copies""")
 def dist_jaccard_set(spark, sf):
-    return rounded(N.jaccard_join(distinct_sets(spark, sf), "doc_id", "s", 0.5), "dist")
+    """Distinct sets at a distance of at most 0.5, and every further copy at distance 0 of its first one."""
+    sets, copies = distinct_sets(spark, sf)
+    return rounded(N.jaccard_join(sets, "doc_id", "s", 0.5), "dist").unionByName(copies.select("i", "j", F.lit(0.0).alias("dist")))
 
 
 @query("dist_jaccard_bits", f"""WITH {VECS_SQL}, b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0.1 THEN 1 ELSE 0 END) AS b FROM vx),
@@ -176,19 +184,30 @@ def radius_join(spark, sf):
     return rounded(P.radius_join(vectors(spark, sf), "vec_id", "euclidean", 1.165, F.get("v", F.lit(0)), 1.165), "dist")
 
 
-@query("embedding_mean_distance", f"""WITH {COS_SQL}, m AS (SELECT max(dist) AS top FROM cp),
-  b AS (SELECT i, dist FROM cp UNION ALL SELECT j, dist FROM cp), a AS (SELECT i AS item, sum(dist) / (SELECT top FROM m) / (count(*) + 1) AS value FROM b GROUP BY 1)
-  SELECT 'cosine' AS model, item, round((value - (SELECT min(value) FROM a)) / (SELECT sum(value) - min(value) * count(*) FROM a), 6) AS value FROM a""")
+MODELS_SQL = f"""{VECS_SQL}, md AS (SELECT 'whole' AS model, vec_id, v FROM vx UNION ALL SELECT 'half', vec_id, v[1:32] FROM vx),
+  mu AS (SELECT model, vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM md),
+  cp AS (SELECT a.model AS model, a.vec_id AS i, b.vec_id AS j, 1 - list_dot_product(a.v, b.v) / (a.n * b.n) AS dist FROM mu a JOIN mu b ON a.model = b.model AND a.vec_id < b.vec_id),
+  m AS (SELECT model, max(dist) AS top FROM cp GROUP BY 1), b AS (SELECT model, i, dist FROM cp UNION ALL SELECT model, j, dist FROM cp)"""
+SHARE_SQL = "SELECT model, item, round((value - min(value) OVER g) / (sum(value) OVER g - min(value) OVER g * count(*) OVER g), 6) AS value FROM a WINDOW g AS (PARTITION BY model)"
+
+
+def two_models(spark, sf):
+    """The stored vectors, and their first halves as a second embedding of the same items."""
+    v = vectors(spark, sf)
+    return {"whole": v, "half": v.withColumn("v", F.slice("v", 1, 32))}
+
+
+@query("embedding_mean_distance", f"""WITH {MODELS_SQL}, a AS (SELECT model, i AS item, sum(dist) / any_value(top) / (count(*) + 1) AS value FROM b JOIN m USING (model) GROUP BY ALL)
+  {SHARE_SQL}""")
 def embedding_mean_distance(spark, sf):
-    got = P.embedding_mean_distance({"cosine": vectors(spark, sf)}, "vec_id", "cosine", probabilistic=True)
+    got = P.embedding_mean_distance(two_models(spark, sf), "vec_id", "cosine", probabilistic=True)
     return rounded(got, "value")
 
 
-@query("embedding_radius_count", f"""WITH {COS_SQL}, m AS (SELECT max(dist) AS top FROM cp),
-  b AS (SELECT i, dist FROM cp UNION ALL SELECT j, dist FROM cp), c AS (SELECT i AS item, count(*) FILTER (WHERE dist <= 0.6 * (SELECT top FROM m)) AS value FROM b GROUP BY 1)
-  SELECT 'cosine' AS model, item, round((value - (SELECT min(value) FROM c)) / (SELECT sum(value) - min(value) * count(*) FROM c), 6) AS value FROM c""")
+@query("embedding_radius_count", f"""WITH {MODELS_SQL}, a AS (SELECT model, i AS item, CAST(count(*) FILTER (WHERE dist <= 0.6 * top) AS DOUBLE) AS value FROM b JOIN m USING (model) GROUP BY ALL)
+  {SHARE_SQL}""")
 def embedding_radius_count(spark, sf):
-    got = P.embedding_radius_count({"cosine": vectors(spark, sf)}, "vec_id", "cosine", 0.6)
+    got = P.embedding_radius_count(two_models(spark, sf), "vec_id", "cosine", 0.6)
     return rounded(got, "value")
 
 
