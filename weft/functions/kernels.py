@@ -81,36 +81,50 @@ def path_layout(a, b):
     return lay(a), lay(b)
 
 
-def path_order(a, b, improved: bool = False, cells: int = 20_000_000):
+def pair_chunks(n: int, width: int):
+    """The pairs r < c of n columns, about ``width`` at a time."""
+    start = 0
+    while start < n - 1:
+        stop, size = start, 0
+        while stop < n - 1 and (not size or size + n - 1 - stop <= width):
+            size += n - 1 - stop
+            stop += 1
+        rows = np.arange(start, stop)
+        counts = n - 1 - rows
+        r = np.repeat(rows, counts)
+        yield r, np.arange(size) - np.repeat(np.cumsum(counts) - counts, counts) + r + 1
+        start = stop
+
+
+def path_order(a, b, improved: bool = False, cells: int = 8_000_000):
     """Course pairs of the union whose order differs; ``improved`` gives the share of pairs and
-    reads a course missing on the left as "same" and missing on the right as "after"."""
+    reads a course missing on the left as "same" and missing on the right as "after".
+
+    A pair counts if both its courses are in the union: 1 − x·y of "missing on the left" x and "missing on
+    the right" y, for each course. "Order differs" is one minus the sum over the three orders of left has
+    it times right has it. So every count is a sum of a left term times a right term, and a block
+    is a handful of matrix products over chunks of course pairs.
+    """
     (pa, ha), (pb, hb) = path_layout(a, b)
-    out = np.full((len(pa), len(pb)), np.nan)
-    width = max(1, pa.shape[1] ** 2)
-    step = max(1, cells // width)
-    for i in range(len(pa)):
-        for lo in range(0, len(pb), step):
-            hi = min(lo + step, len(pb))
-            union = hb[lo:hi] | ha[i]
-            use = np.flatnonzero(union.any(axis=0))
-            if not len(use):
-                out[i, lo:hi] = 0.0 if not improved else np.nan
-                continue
-            r, c = np.triu_indices(len(use), 1)
-            r, c = use[r], use[c]
-            sa = np.sign(pa[i, r] - pa[i, c]).astype(np.int8)
-            sb = np.sign(pb[lo:hi][:, r] - pb[lo:hi][:, c]).astype(np.int8)
-            if improved:
-                sa = np.where(ha[i, r] & ha[i, c], sa, 0).astype(np.int8)
-                sb = np.where(hb[lo:hi][:, r] & hb[lo:hi][:, c], sb, 1).astype(np.int8)
-            both = union[:, r] & union[:, c]
-            diff = ((sb != sa) & both).sum(axis=1)
+    differ = np.zeros((len(pa), len(pb)))
+    pairs = np.zeros_like(differ)
+    for r, c in pair_chunks(pa.shape[1], max(1, cells // max(1, len(pa) + len(pb)))):
+        sides = []
+        for p, h, other in ((pa, ha, 0), (pb, hb, 1)):
+            order = np.sign(p[:, r] - p[:, c]).astype(np.int8)
             if improved:
-                n = both.sum(axis=1)
-                out[i, lo:hi] = np.where(n > 0, diff / np.maximum(n, 1), np.nan)
-            else:
-                out[i, lo:hi] = diff
-    return out
+                order[~(h[:, r] & h[:, c])] = other
+            x, y = ~h[:, r], ~h[:, c]
+            sides.append((order, (np.ones_like(x), x, y, x & y)))
+        (oa, left), (ob, right) = sides
+        same = [((oa == s), (ob == s)) for s in (-1, 0, 1)]
+        for sign, u, v in zip((1, -1, -1, 1), left, right):
+            total = u.astype(np.float32) @ v.astype(np.float32).T
+            pairs += sign * total
+            differ += sign * (total - sum((u & f).astype(np.float32) @ (v & g).astype(np.float32).T for f, g in same))
+    if not improved:
+        return differ
+    return np.where(pairs > 0, differ / np.maximum(pairs, 1), np.nan)
 
 
 def path_order_share(a, b):

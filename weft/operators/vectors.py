@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def term_counts(tokens: DataFrame, doc: str, term: str) -> DataFrame:
@@ -28,8 +28,9 @@ def vocabulary_limits(counts: DataFrame, doc: str, term: str, min_df: int = 1, m
 
 
 def l2_normalise(weights: DataFrame, doc: str, w: str) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col(w) * F.col(w)).over(W.partitionBy(doc)))
-    return weights.withColumn(w, F.when(norm > 0, F.col(w) / norm))
+    """Weights over the norm of their document; the norms are an aggregate, so a long document is no window."""
+    norms = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias("_norm"))
+    return weights.join(norms, doc).withColumn(w, F.when(F.col("_norm") > 0, F.col(w) / F.col("_norm"))).drop("_norm")
 
 
 def count_vectors(tokens: DataFrame, doc: str, term: str, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
@@ -40,10 +41,10 @@ def count_vectors(tokens: DataFrame, doc: str, term: str, min_df: int = 1, max_d
     return l2_normalise(counts.withColumn("w", F.col("tf").cast("double")), doc, "w")
 
 
-def tfidf_vectors(tokens: DataFrame, doc: str, term: str, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """tf × idf, L2-normalised: (doc, term, tf, df, w)."""
+def tfidf_vectors(tokens: DataFrame, doc: str, term: str, min_df: int = 1, max_df: float = 1.0, n_docs=None) -> DataFrame:
+    """tf × idf, L2-normalised: (doc, term, tf, df, w). ``n_docs`` saves a pass where the number of documents with a term is known."""
     counts = term_counts(tokens, doc, term)
-    n = counts.select(doc).distinct().agg(F.count(F.lit(1))).scalar()
+    n = tokens.agg(F.count_distinct(doc)).scalar() if n_docs is None else n_docs
     idf = idf_table(counts, doc, term, n)
     if min_df > 1 or max_df < 1.0:
         idf = idf.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
