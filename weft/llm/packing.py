@@ -156,6 +156,7 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in slices(batches, "text", ENCODED):
             yield as_batch(list(rows(full(batch))), schema)
         yield as_batch(list(rows(packer.finish())), schema)
+        encoder(spec.value).rest()
 
     return keyed(df, id_col, text_col).mapInArrow(run, SCHEMA)
 

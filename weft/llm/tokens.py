@@ -26,6 +26,8 @@ from .common import ranges
 
 #: Words, and chunks, remembered per worker process; beyond that the first half stays, which has the frequent ones.
 REMEMBERED = 500_000
+#: Words, and chunks, that a worker process keeps from one task to the next.
+KEPT = 150_000
 #: Bytes of text numbered at a time: the more, the fewer chunks are looked up twice.
 ENCODED = 8 << 20
 #: Bytes beyond which a text is encoded piece by piece.
@@ -119,18 +121,23 @@ class Encoder:
         self.chunks = Numbers()
         self.chunk_flat, self.chunk_starts, self.chunk_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def trim(self) -> None:
-        """Keep what was learned first where too much is remembered."""
-        keep = REMEMBERED // 2
-        if len(self.number) > REMEMBERED:
+    def trim(self, most: int | None = None, keep: int | None = None) -> None:
+        """Keep what was learned first where more than ``most`` is remembered."""
+        most = REMEMBERED if most is None else most
+        keep = most // 2 if keep is None else keep
+        if len(self.number) > most:
             self.number = Numbers(islice(self.number.items(), keep))
-            self.starts, self.counts = self.starts[:keep], self.counts[:keep]
+            self.starts, self.counts = self.starts[:keep].copy(), self.counts[:keep].copy()
             self.flat = self.flat[: int((self.starts + self.counts).max())].copy()
-        if len(self.chunks) > REMEMBERED:
+        if len(self.chunks) > most:
             self.chunks = Numbers(islice(self.chunks.items(), keep))
-            self.chunk_starts, self.chunk_counts = self.chunk_starts[:keep], self.chunk_counts[:keep]
+            self.chunk_starts, self.chunk_counts = self.chunk_starts[:keep].copy(), self.chunk_counts[:keep].copy()
             self.chunk_flat = self.chunk_flat[: int((self.chunk_starts + self.chunk_counts).max())].copy()
 
+    def rest(self) -> None:
+        """At the end of a task: give memory back, as the process may go on to other work."""
+        self.trim(KEPT, KEPT)
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for a column of strings (NULL: empty)."""
         column = pc.fill_null(column, "")
