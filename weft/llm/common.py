@@ -55,6 +55,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SL
             yield batch.slice(start, stop - start)
 
 
+#: Bytes of an Arrow batch between Spark and Python. Texts are long, and every batch under way is held
+#: a few times over on both sides; the session's default of 64 MB is too much for small executors.
+BATCH = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bound on Arrow batches to ``BATCH`` where it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = re.match(r"\d+", conf.get(key, str(8 * BATCH)))
+    if not bound or int(bound[0]) > BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def per_batch(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str) -> DataFrame:
     """Run ``fn(doc_ids, texts) -> columns`` over Arrow batches of (doc_id, text)."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -65,7 +79,7 @@ def per_batch(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str)
             out = fn(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def extended(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], dict], added: dict[str, str], replaced: tuple[str, ...] = ()) -> DataFrame:
@@ -87,7 +101,7 @@ def extended(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], dict],
             columns += [pa.array(out[n], f.type) for n, f in zip(added, extra)]
             yield pa.RecordBatch.from_arrays(columns, names=inner.names)
 
-    return df.toDF(*inner.names[: len(names)]).mapInArrow(run, inner).toDF(*names, *added)
+    return small_batches(df).toDF(*inner.names[: len(names)]).mapInArrow(run, inner).toDF(*names, *added)
 
 
 def arrow_schema(fields: T.StructType) -> pa.Schema:

@@ -102,18 +102,21 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Only the dropped ids travel, so the texts are not shuffled where those ids are few enough for a
-    broadcast of checked size. Rows that repeat id and text are reduced to one of them.
+    Only the ids that go are joined, so the texts are not shuffled where those are few enough for a
+    broadcast of checked size. Ids that several rows share (and NULL ids) are decided row by row; of
+    rows that repeat id and text one stays.
     """
     groups = cut(exact_groups(df, id_col, text_col))
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    same = (col(id_col).cast("long").eqNullSafe(F.col("gone.weft_id"))) & (F.sha2(text.cast("binary"), 256) == F.col("gone.weft_digest"))
-    named = lambda rows: rows.select(F.col("doc_id").alias("weft_id"), F.col("text_sha256").alias("weft_digest")).distinct()
-    dropped = groups.where(~F.col("kept"))
-    twice = dropped.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    once = df.join(cut(named(dropped)).alias("gone"), same, "left_anti")
-    if not twice.limit(1).count():
+    ids = cut(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("kept").alias("kept")))
+    shared = (F.col("rows") > 1) | F.col("doc_id").isNull()
+    named = lambda rows: cut(rows.select(F.col("doc_id").alias("weft_id")))
+    same = col(id_col).cast("long").eqNullSafe(F.col("weft_id"))
+    once = df.join(named(ids.where(shared | ~F.col("kept"))), same, "left_anti")
+    several = named(ids.where(shared))
+    if not several.limit(1).count():
         return once
-    again = df.join(cut(named(twice)).alias("gone"), same, "left_semi")
-    first = W.partitionBy(col(id_col), F.sha2(text.cast("binary"), 256)).orderBy(col(id_col))
-    return once.unionByName(again.withColumn("weft_repeat", F.row_number().over(first)).where("weft_repeat = 1").drop("weft_repeat"))
+    digest = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    stays = cut(groups.where("kept").select(F.col("doc_id").alias("weft_id"), F.col("text_sha256").alias("weft_digest")))
+    again = df.join(several, same, "left_semi").join(stays, same & (digest == F.col("weft_digest")), "left_semi")
+    first = F.row_number().over(W.partitionBy(col(id_col), digest).orderBy(col(id_col)))
+    return once.unionByName(again.withColumn("weft_repeat", first).where("weft_repeat = 1").drop("weft_repeat"))

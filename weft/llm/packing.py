@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, keyed, slices
+from .common import arrow_schema, keyed, slices, small_batches
 from .tokens import ENCODED, encoder, shipped
 
 WINDOW = 2048
@@ -158,7 +158,7 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         yield as_batch(list(rows(packer.finish())), schema)
         encoder(spec.value).rest()
 
-    return keyed(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return small_batches(keyed(df, id_col, text_col)).mapInArrow(run, SCHEMA)
 
 
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ tokens) is left to the library as it is. The ids are the library's in all cases.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import unicodedata
@@ -137,6 +138,8 @@ class Encoder:
     def rest(self) -> None:
         """At the end of a task: give memory back, as the process may go on to other work."""
         self.trim(KEPT, KEPT)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for a column of strings (NULL: empty)."""

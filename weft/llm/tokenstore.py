@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, open_shared, ranges, scratch_path, slices
+from .common import cut, keyed, open_shared, ranges, scratch_path, slices, small_batches
 from .tokens import ENCODED, encoder, shipped
 
 #: Selector s packs COUNTS[s] ids of WIDTHS[s] bits (the widths of Simple-8b without its runs of zeros).
@@ -217,7 +217,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
         for data in frames(documents(batches)):
             yield pa.RecordBatch.from_pydict({"frame": pa.array([data], pa.binary())})
 
-    made = ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string"))  # the bytes as they are
+    made = small_batches(ordered).mapInArrow(run, "frame binary").select(F.col("frame").cast("string"))  # the bytes as they are
     made.write.option("lineSep", MARK).text(path)
 
 
