@@ -313,6 +313,28 @@ def test_affinity_finds_two_groups(spark):
     assert side == {True: {True}, False: {False}}
 
 
+@pytest.mark.parametrize("block_rows", [7, 100])
+def test_affinity_in_blocks_equals_the_whole_matrix(spark, block_rows):
+    x, df = random_vectors(spark, 24)
+    n, rounds = len(x), 12
+    s = -((x[:, None] - x[None]) ** 2).sum(axis=2)
+    s[np.diag_indices(n)] = np.median(s[~np.eye(n, dtype=bool)])
+    r, a = np.zeros_like(s), np.zeros_like(s)
+    for _ in range(rounds):
+        both = a + s
+        new = np.array([[s[i, k] - max(both[i, q] for q in range(n) if q != k) for k in range(n)] for i in range(n)])
+        r = 0.5 * r + 0.5 * new
+        pos = np.maximum(r, 0)
+        pos[np.diag_indices(n)] = np.diag(r)
+        new = pos.sum(axis=0)[None, :] - pos
+        new[~np.eye(n, dtype=bool)] = np.minimum(new[~np.eye(n, dtype=bool)], 0)
+        a = 0.5 * a + 0.5 * new
+    chosen = np.flatnonzero(np.diag(r + a) > 0)
+    want = {i: i if i in chosen or not len(chosen) else int(chosen[s[i, chosen].argmax()]) for i in range(n)}
+    got = C.affinity_bins(df, "id", "v", rounds=rounds, still=99, block_rows=block_rows).collect()
+    assert {r["id"]: r["exemplar"] for r in got} == want
+
+
 # ---------------------------------------------------------------- sequences and streams
 
 DIE = M.Model((0.5, 0.5), ((0.7, 0.3), (0.3, 0.7)), ((0.9, 0.1), (0.2, 0.8)))

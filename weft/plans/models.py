@@ -119,7 +119,7 @@ def hierarchical_bins(spark, sf):
 
 @query("affinity_bins")
 def affinity_bins(spark, sf):
-    return doc_bins(spark, sf, C.affinity_bins(vectors(spark, sf), "vec_id", "v"))
+    return doc_bins(spark, sf, C.affinity_bins(vectors(spark, sf), "vec_id", "v", rounds=30).withColumnRenamed("exemplar", "cluster"))
 
 
 HISTOGRAM_SQL = """c AS (SELECT doc_id, cluster, count(*) AS n FROM b GROUP BY ALL),
