@@ -120,5 +120,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) - np.repeat(before - starts, lengths)
+    kind = np.int32 if max(total, int(starts.max()) + int(lengths.max())) < 1 << 31 else np.int64
+    shift = (starts - (np.cumsum(lengths) - lengths)).astype(kind)
+    out = np.repeat(shift, lengths)
+    out += np.arange(total, dtype=kind)
+    return out

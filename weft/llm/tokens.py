@@ -28,9 +28,9 @@ from .common import ranges
 #: Words, and chunks, remembered per worker process; beyond that the first half stays, which has the frequent ones.
 REMEMBERED = 500_000
 #: Words, and chunks, that a worker process keeps from one task to the next.
-KEPT = 150_000
+KEPT = 100_000
 #: Bytes of text numbered at a time: the more, the fewer chunks are looked up twice.
-ENCODED = 8 << 20
+ENCODED = 4 << 20
 #: Bytes beyond which a text is encoded piece by piece.
 LONG = 8 << 20
 #: Characters handled at a time: the words of a piece are the peak of the memory.

@@ -211,7 +211,6 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
             flat, counts = encode(batch.column("text"))
             for doc_id, stop, k in zip(batch.column("doc_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist()):
                 yield doc_id, np.concatenate([flat[stop - k : stop], end])
-        encoder(spec.value).rest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in frames(documents(batches)):
