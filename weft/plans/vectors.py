@@ -335,9 +335,9 @@ def path_dist_order(spark, sf):
 
 
 @query("path_dist_order_improved", f"""WITH {ORDER_SQL}, d AS (SELECT a, b, avg(CASE WHEN CASE WHEN ha THEN sa ELSE 0 END <> CASE WHEN hb THEN sb ELSE 1 END THEN 1 ELSE 0 END) AS dist FROM cp GROUP BY ALL)
-  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.66""")
+  SELECT a AS i, b AS j, round(dist, 6) AS dist FROM d WHERE dist <= 0.68""")
 def path_dist_order_improved(spark, sf):
-    return rounded(H.path_distance(path_items(spark, sf), "order_share", max_dist=0.66), "dist")
+    return rounded(H.path_distance(path_items(spark, sf), "order_share", max_dist=0.68), "dist")
 
 
 @query("path_dist_emd", f"""WITH {PATH_SQL}, {LOOKUP_SQL.format(on='a.path_id < b.path_id')},
