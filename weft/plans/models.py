@@ -42,9 +42,29 @@ def turns(spark, sf):
 # ---------------------------------------------------------------- reduction
 
 
-@query("svd")
+def next_products(z, squares: bool):
+    """Products of each item with itself and with the next one, or the squared distance to the next one.
+
+    With all dimensions kept they are those of the input, whatever the signs of the directions.
+    """
+    a = z.select("vec_id", "z")
+    b = z.select((F.col("vec_id") - 1).alias("vec_id"), F.col("z").alias("y"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    gap = F.zip_with("z", "y", lambda p, q: p - q)
+    both = a.join(b, "vec_id")
+    if squares:
+        return both.select("vec_id", F.round(dot(gap, gap), 6).alias("gap"))
+    return both.select("vec_id", F.round(dot(F.col("z"), F.col("z")), 6).alias("own"), F.round(dot(F.col("z"), F.col("y")), 6).alias("next"))
+
+
+NEXT_SQL = f"{VECS_SQL}, nx AS (SELECT a.vec_id AS vec_id, a.v AS x, b.v AS y FROM vx a JOIN vx b ON b.vec_id = a.vec_id + 1)"
+GAP_SQL = f"WITH {NEXT_SQL} SELECT vec_id, round(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS gap FROM nx"
+WIDTH = 64
+
+
+@query("svd", f"WITH {NEXT_SQL} SELECT vec_id, round(list_dot_product(x, x), 6) AS own, round(list_dot_product(x, y), 6) AS next FROM nx")
 def svd(spark, sf):
-    return spread(D.svd(vectors(spark, sf), "vec_id", "v", 8), "vec_id")
+    return next_products(D.svd(vectors(spark, sf), "vec_id", "v", WIDTH), False)
 
 
 @query("svd_long")
@@ -53,9 +73,9 @@ def svd_long(spark, sf):
     return spread(D.svd_long(tv, "doc_id", "term", "w", 5, rounds=1), "doc_id")
 
 
-@query("pca")
+@query("pca", GAP_SQL)
 def pca(spark, sf):
-    return spread(D.pca(vectors(spark, sf), "vec_id", "v", 8), "vec_id")
+    return next_products(D.pca(vectors(spark, sf), "vec_id", "v", WIDTH), True)
 
 
 @query("nmf")
@@ -71,9 +91,9 @@ def lda(spark, sf):
     return spread(T.lda(docs, "doc_id", "tokens", 5, max_iter=10), "doc_id", "mixture")
 
 
-@query("mds")
+@query("mds", GAP_SQL)
 def mds(spark, sf):
-    return spread(D.mds(vectors(spark, sf), "vec_id", "v"), "vec_id")
+    return next_products(D.mds(vectors(spark, sf), "vec_id", "v", WIDTH), True)
 
 
 @query("projection_table")
@@ -183,10 +203,12 @@ def doc_bin_vectors(spark, sf):
 # ---------------------------------------------------------------- topics
 
 
-@query("word2vec")
+@query("word2vec", f"WITH {TOKENS_SQL} SELECT DISTINCT w AS word, 16 AS dim, true AS finite FROM tok")
 def word2vec(spark, sf):
     model = T.word2vec(corpus(spark, sf).select(words(F.col("text")).alias("tokens")), "tokens", dim=16)
-    return spread(T.model_vectors(model), "word", "vector")
+    # the words and the form of their vectors; the numbers depend on the training's random draws
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return T.model_vectors(model).select("word", F.size("vector").alias("dim"), finite.alias("finite"))
 
 
 @query("topic_run_grid")

@@ -86,14 +86,16 @@ def sink_text(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("model_save_load")
+@query("model_save_load", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word, 8 AS dim, true AS same FROM documents""")
 def model_save_load(spark, sf):
     docs = corpus(spark, sf).select(words(F.col("text")).alias("t"))
     stage = Word2Vec(vectorSize=8, windowSize=5, minCount=1, seed=1, maxIter=1, inputCol="t", outputCol="v")
     path = scratch_path(spark, "model")
-    Pipeline(stages=[stage]).fit(docs).write().save(path)
-    back = PipelineModel.load(path).stages[0]
-    return back.getVectors().select("word", F.transform(vector_to_array("vector"), lambda x: F.round(x, 6)).alias("vector"))
+    fitted = Pipeline(stages=[stage]).fit(docs)
+    fitted.write().save(path)
+    named = lambda model, name: model.stages[0].getVectors().select("word", vector_to_array("vector").alias(name))
+    both = named(PipelineModel.load(path), "vector").join(named(fitted, "before"), "word", "left")
+    return both.select("word", F.size("vector").alias("dim"), F.col("vector").eqNullSafe(F.col("before")).alias("same"))
 
 
 @query("html_extract", r"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, trim(regexp_replace(replace(replace(replace(replace(replace(
