@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Token patterns.
 WORD = r"[\p{L}\p{N}_]{2,}"
 ALPHA = r"[\p{L}]{2,}"
 
+# Signs that do not survive the cleaning of keywords and of texts; what is dropped before.
+KEYWORD_SIGNS = r"[^a-zA-Z0-9. ]+"
+TEXT_SIGNS = r"[^a-zA-Z0-9.!? ]+"
+ADDRESSES = r"(https?://[^ \n]+|[^ \n@]+@[^ \n@]+)"
+
 # Default stop words of the four corpus languages.
 STOP_WORDS = [
     "the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "as", "are", "by", "with", "from",
@@ -47,14 +54,19 @@ def remove_value(text: Column, value: str, sep: str = ";") -> Column:
     return F.concat_ws(sep, F.array_remove(split_list(text, sep), value))
 
 
-def clean_keywords(text: Column, sep: str = ";", merge: str = ";") -> Column:
-    """Separators end a keyword; other signs become spaces; one-letter words go; lower, unique, sorted."""
-    raw = F.regexp_replace(F.replace(text, F.lit(sep), F.lit(".")), r"[^a-zA-Z0-9. ]+", " ")
+def same(word: Column) -> Column:
+    return word
+
+
+def clean_keywords(text: Column, sep: str = ";", merge: str = ";", lemma: Callable[[Column], Column] = same) -> Column:
+    """Separators end a keyword; other signs become spaces; one-letter words go; lower, each word's
+    ``lemma``, unique, sorted."""
+    raw = F.regexp_replace(F.replace(text, F.lit(sep), F.lit(".")), KEYWORD_SIGNS, " ")
 
     def one(k: Column) -> Column:
-        return F.concat_ws(" ", F.filter(F.split(k, " +", -1), lambda w: F.length(w) > 1))
+        return F.concat_ws(" ", F.transform(F.filter(F.split(F.lower(k), " +", -1), lambda w: F.length(w) > 1), lemma))
 
-    keys = F.transform(F.split(raw, r"\.", -1), lambda k: F.lower(one(k)))
+    keys = F.transform(F.split(raw, r"\.", -1), one)
     return F.concat_ws(merge, F.array_sort(F.array_distinct(F.filter(keys, lambda k: k != ""))))
 
 
@@ -63,17 +75,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[.!?]", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def clean_text(text: Column, stop: list[str] = STOP_WORDS, remove_num: bool = True, merge: str = " ") -> Column:
+def clean_text(text: Column, stop: list[str] = STOP_WORDS, remove_num: bool = True, merge: str = " ", lemma: Callable[[Column], Column] = same) -> Column:
     """Keep letters, digits and sentence ends; per sentence drop stop words, one-letter words and
-    (optionally) numbers; URLs and e-mail addresses are dropped before signs are removed."""
-    no_url = F.regexp_replace(text, r"(https?://[^ \n]+|[^ \n@]+@[^ \n@]+)", " ")
-    kept = F.regexp_replace(no_url, r"[^a-zA-Z0-9.!? ]+", " ")
+    (optionally) numbers, and put each word's ``lemma``; URLs and e-mail addresses are dropped before signs
+    are removed."""
+    no_url = F.regexp_replace(text, ADDRESSES, " ")
+    kept = F.regexp_replace(no_url, TEXT_SIGNS, " ")
 
     def keep(w: Column) -> Column:
         ok = (F.length(w) > 1) & ~F.lower(w).isin(stop)
         return ok & ~w.rlike("^[0-9]+$") if remove_num else ok
 
-    sent = F.transform(F.split(kept, "[.!?]", -1), lambda s: F.concat_ws(" ", F.filter(F.split(s, " +", -1), keep)))
+    sent = F.transform(F.split(kept, "[.!?]", -1), lambda s: F.concat_ws(" ", F.transform(F.filter(F.split(s, " +", -1), keep), lemma)))
     return F.concat_ws(merge, F.filter(sent, lambda s: s != ""))
 
 

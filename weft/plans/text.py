@@ -17,20 +17,25 @@ from weft.plans.ranking import GROUP_SQL
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
 
+SINGULAR_SQL = r"""CASE WHEN regexp_matches({w}, '[^aeiou]ies$') THEN regexp_replace({w}, 'ies$', 'y')
+  WHEN regexp_matches({w}, 'sses$') THEN regexp_replace({w}, 'es$', '')
+  WHEN regexp_matches({w}, '(ss|us|is)$') OR NOT regexp_matches({w}, '..s$') THEN {w} ELSE regexp_replace({w}, 's$', '') END"""
+
+
 @query("clean_keywords", r"""WITH k AS (SELECT doc_id, string_split(regexp_replace(replace(text, ' the ', '.'), '[^a-zA-Z0-9. ]+', ' ', 'g'), '.') AS ks FROM documents),
-  u AS (SELECT doc_id, list_transform(ks, lambda k: lower(array_to_string(list_filter(regexp_split_to_array(k, ' +'), lambda w: length(w) > 1), ' '))) AS ks FROM k)
-  SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(ks, lambda k: k <> ''))), ';')) AS keys FROM u""")
+  u AS (SELECT doc_id, list_transform(ks, lambda k: array_to_string(list_transform(list_filter(regexp_split_to_array(lower(k), ' +'), lambda w: length(w) > 1), lambda w: LEMMA), ' ')) AS ks FROM k)
+  SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(ks, lambda k: k <> ''))), ';')) AS keys FROM u""".replace("LEMMA", SINGULAR_SQL.format(w="w")))
 def clean_keywords(spark, sf):
-    return corpus(spark, sf).select("doc_id", F.md5(X.clean_keywords(F.col("text"), " the ")).alias("keys"))
+    return corpus(spark, sf).select("doc_id", F.md5(X.clean_keywords(F.col("text"), " the ", lemma=X.singular)).alias("keys"))
 
 
 @query("clean_text", rf"""WITH k AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '(https?://[^ \n]+|[^ \n@]+@[^ \n@]+)', ' ', 'g'),
     '[^a-zA-Z0-9.!? ]+', ' ', 'g'), '[.!?]') AS ss FROM documents),
-  u AS (SELECT doc_id, list_transform(ss, lambda s: array_to_string(list_filter(regexp_split_to_array(s, ' +'),
-    lambda w: length(w) > 1 AND NOT list_contains({STOP_SQL}, lower(w)) AND NOT regexp_matches(w, '^[0-9]+$')), ' ')) AS ss FROM k)
+  u AS (SELECT doc_id, list_transform(ss, lambda s: array_to_string(list_transform(list_filter(regexp_split_to_array(s, ' +'),
+    lambda w: length(w) > 1 AND NOT list_contains({STOP_SQL}, lower(w)) AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: {SINGULAR_SQL.format(w='w')}), ' ')) AS ss FROM k)
   SELECT doc_id, array_to_string(list_filter(ss, lambda s: s <> ''), ' ') AS clean FROM u""")
 def clean_text(spark, sf):
-    return corpus(spark, sf).select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+    return corpus(spark, sf).select("doc_id", X.clean_text(F.col("text"), lemma=X.singular).alias("clean"))
 
 
 @query("clean_alpha_tokens", rf"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{{L}}]{{2,}}'),
@@ -39,11 +44,6 @@ def clean_alpha_tokens(spark, sf):
     return corpus(spark, sf).select("doc_id", F.concat_ws(" ", X.alpha_words(F.col("text"))).alias("clean"))
 
 
-SINGULAR_SQL = r"""CASE WHEN regexp_matches({w}, '[^aeiou]ies$') THEN regexp_replace({w}, 'ies$', 'y')
-  WHEN regexp_matches({w}, 'sses$') THEN regexp_replace({w}, 'es$', '')
-  WHEN regexp_matches({w}, '(ss|us|is)$') OR NOT regexp_matches({w}, '..s$') THEN {w} ELSE regexp_replace({w}, 's$', '') END"""
-
-
 @query("lemma_lookup", f"""WITH {TOKENS_SQL}, lm AS (SELECT w AS word, min(left(w, 4)) AS lemma FROM
     (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w FROM benchmark) WHERE length(w) > 6 GROUP BY w)
   SELECT w, coalesce(lemma, {SINGULAR_SQL.format(w='w')}) AS lemma, count(*) AS n FROM tok LEFT JOIN lm ON w = word GROUP BY ALL""")
