@@ -434,7 +434,7 @@ def test_a_class_without_a_name(spark):
 
 def test_terms_fold_case(spark):
     df = frame(spark, [(1, "Spark spark SPARK"), (2, None), (3, "")], "d int, t string")
-    rows = V.tfidf_vectors(V.tokenize_custom(df, "d", "t", X.space_words), "d", "term").collect()
+    rows = V.tfidf_vectors(V.tokenize_custom(df, "d", "t", X.folded_space_words), "d", "term").collect()
     assert {(r["d"], r["term"], r["tf"]) for r in rows} == {(1, "spark", 3), (3, "", 1)}
 
 

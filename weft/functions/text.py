@@ -30,8 +30,13 @@ def words(text: Column) -> Column:
 
 
 def space_words(text: Column) -> Column:
-    """Lower-cased text split on single spaces, nothing else."""
-    return F.split(F.lower(text), " ", -1)
+    """Split on single spaces, nothing else."""
+    return F.split(text, " ", -1)
+
+
+def folded_space_words(text: Column) -> Column:
+    """Lower-cased text split on single spaces: case is folded before a caller's tokenizer sees a text."""
+    return space_words(F.lower(text))
 
 
 def alpha_words(text: Column, stop: list[str] = STOP_WORDS) -> Column:

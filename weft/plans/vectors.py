@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.functions.text import space_words
+from weft.functions.text import folded_space_words
 from weft.operators import neighbours as N
 from weft.operators import pairwise as P
 from weft.operators import paths as H
@@ -41,7 +41,7 @@ def count_vectors(spark, sf):
   raw AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf))::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (term))
   SELECT doc_id, term, tf, df, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS w FROM raw""")
 def tfidf_vectors(spark, sf):
-    toks = V.tokenize_custom(corpus(spark, sf), "doc_id", "text", space_words)
+    toks = V.tokenize_custom(corpus(spark, sf), "doc_id", "text", folded_space_words)
     return rounded(V.tfidf_vectors(toks, "doc_id", "term"), "w")
 
 
