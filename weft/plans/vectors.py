@@ -13,7 +13,7 @@ from weft.operators.relational import neighbour_stats_join as join_stats
 from weft.plans.ranking import DEDUP_SQL, JACC_SQL, TFIDF_SQL, distinct_sets
 from weft.plans.registry import query, table
 from weft.plans.relational import COS_SQL
-from weft.plans.roles import EXAMS_SQL, TOKENS_SQL, VECS_SQL, WORD_VECTOR_SQL, corpus, corpus_tokens, exams, vectors, word_vector_id
+from weft.plans.roles import EXAMS_SQL, TOKENS_SQL, VECS_SQL, WORD_VECTOR_SQL, corpus, corpus_tokens, exams, hashed_vector_id, vectors, word_vector_id
 from weft.session import cut
 
 
@@ -69,6 +69,11 @@ def word_vector_tokens(spark, sf):
     return corpus_tokens(spark, sf).select("doc_id", word_vector_id(spark, sf).alias("vec_id"))
 
 
+def hashed_vector_tokens(spark, sf):
+    """Tokens by a hash of the whole word, for the queries without a statement: (doc_id, vec_id)."""
+    return corpus_tokens(spark, sf).select("doc_id", hashed_vector_id(spark, sf).alias("vec_id"))
+
+
 WV_SQL = f"""{TOKENS_SQL}, {VECS_SQL}, wt AS (SELECT doc_id, {WORD_VECTOR_SQL} AS vec_id FROM tok),
   wc AS (SELECT doc_id, vec_id, count(*) AS c FROM wt GROUP BY ALL), dims AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS d)"""
 
