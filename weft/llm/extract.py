@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ BLOCKS = frozenset("""address article aside blockquote body button caption cente
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td
 tfoot th thead tr ul""".split())
 #: Elements whose content is never text of the page.
-SILENT = frozenset("applet audio canvas datalist head map math noframes noscript object option select svg template video".split())
+SILENT = frozenset("applet audio canvas datalist head map noframes noscript object option select svg template video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes these open elements first, if no element of the second set lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"})}
@@ -37,6 +38,8 @@ TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
+XMP = re.compile(r"""<xmp\b((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>(.*?)(?:</xmp\s*>|\Z)""", re.DOTALL | re.IGNORECASE)
+SILENT_TAG = re.compile(rf"<(?:{'|'.join(sorted(SILENT))})\b", re.IGNORECASE)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""\shidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 #: Words in a block that tell of its part in the page.
@@ -62,38 +65,95 @@ def element(tag: str, attributes: str) -> str:
     return f"{tag} {names}{' -hidden' if attributes and HIDDEN.search(attributes) else ''}".rstrip()
 
 
+def silences(page: str) -> dict[int, int]:
+    """For the start tags of silent elements (by number of token): the token at which text counts again.
+
+    That is the end tag, for an option the next option too. An element that its block leaves unclosed ends at the next
+    tag of a block, so that no later block is lost.
+    """
+    ends: dict[int, int] = {}
+    bounds: dict[int, int] = {}
+    open_now: list[tuple[str, int]] = []  # blocks and silent elements
+    waiting: list[int] = []  # silent elements since the last tag of a block
+    for i, m in enumerate(TOKEN.finditer(page)):
+        if (m[1] or "").lower() == "xmp":
+            bounds.update((at, i) for at in waiting)
+            waiting.clear()
+        if not m[3]:
+            continue
+        tag, closing = m[3].lower(), bool(m[2])
+        if tag in SILENT:
+            if closing:
+                k = next((k for k in range(len(open_now) - 1, -1, -1) if open_now[k][0] == tag), -1)
+                if k >= 0:
+                    ends[open_now[k][1]] = i
+                    del open_now[k:]
+            elif not m[4].endswith("/"):
+                if tag == "option" and open_now and open_now[-1][0] == tag:
+                    ends[open_now.pop()[1]] = i
+                open_now.append((tag, i))
+                waiting.append(i)
+        elif tag in BLOCKS:
+            bounds.update((at, i) for at in waiting)
+            waiting.clear()
+            if tag in ("body", "html"):
+                open_now.clear()
+            elif closing:
+                for k in range(len(open_now) - 1, -1, -1):
+                    if open_now[k][0] == tag:
+                        del open_now[k:]
+                        break
+                    if open_now[k][0] in WALLS and tag not in WALLS:
+                        break
+            elif tag not in VOID:
+                if open_now and (open_now[-1][0] == "p" and tag in CLOSES_P or open_now[-1][0] in CLOSES.get(tag, ((),))[0]):
+                    open_now.pop()
+                open_now.append((tag, i))
+    bounds.update((at, sys.maxsize) for at in waiting)
+    return bounds | ends
+
+
 def blocks(page: str, labelled: bool = False) -> list[Block]:
     """The leaf blocks of a page in order; their texts are decoded, with single spaces."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # tag, key, marked as main
     parts: list[str] = []
-    linked, in_link, silent = 0, False, 0
+    linked, in_link, silent = 0, False, -1  # silent: the token up to which no text counts
+    silence = silences(page) if SILENT_TAG.search(page) else {}
     keep = functools.partial(flush, out, stack, parts)
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not silent:
+    for i, m in enumerate(TOKEN.finditer(page)):
+        if m.start() > at and i > silent:
             part = page[at : m.start()]
             parts.append(part)
             linked += len(part) if in_link else 0
         at = m.end()
+        if i < silent:
+            continue
+        if (m[1] or "").lower() == "xmp":  # preformatted text without markup
+            attributes, raw = XMP.fullmatch(m[0]).groups()
+            keep(linked)
+            open_(stack, "pre", attributes, labelled)
+            parts.append(html.escape(raw))
+            keep(0)
+            close(stack, "pre", "", labelled)
+            linked, in_link = 0, False
+            continue
         tag = m[3]
         if not tag:
             continue
         tag, closing = tag.lower(), bool(m[2])
         if tag in SILENT:
-            silent = max(0, silent + (-1 if closing else 0 if m[4].endswith("/") else 1))
-        elif silent and tag not in ("body", "html"):
-            continue
+            silent = silence.get(i, silent)
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
-            silent = 0
             keep(linked)
             linked, in_link = 0, False
             (close if closing else open_)(stack, tag, m[4], labelled)
-    if at < len(page) and not silent:
+    if at < len(page) and silent < sys.maxsize:
         parts.append(page[at:])
         linked += len(page) - at if in_link else 0
     keep(linked)
