@@ -1,16 +1,17 @@
 """Secret scans: fixed patterns, and strings that zstandard finds new in a sensitive place.
 
 Base spans come from three patterns. The novelty method looks at the strings that follow a sensitive
-word and measures, with a compressor primed with an identifier dictionary, how many bytes the
-string adds to its surroundings. Names, paths and prose compress well against the dictionary
+word, on its line or the next ones, or stand before it, and measures, with a compressor primed
+with an identifier dictionary, how many bytes the string adds to its surroundings. Names, paths and prose compress well against the dictionary
 and the text around them; random key material does not and is reported.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice, takewhile
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -28,19 +29,27 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Words that make a place sensitive, and how far behind one a candidate may begin.
+#: Words that make a place sensitive, and how far behind one a candidate may begin, or before one end.
 SENSITIVE_WORDS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"private", b"signature")
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|pwd|secret|token|key|credential|bearer|auth|private|signature", re.IGNORECASE | re.ASCII)
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
+#: A candidate as a whole, and what may lie between the lines of one key (quotes, and a line end or the backslash of a written one).
+WHOLE = re.compile(rf"(?<![A-Za-z0-9+/_.~-]){CANDIDATE.pattern}")
+GAP = re.compile(r"""(?=[^\r\n\\]*+[\r\n\\])[\s"'+,\\]{1,64}""")
 CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 #: Code points of the text on each side that a candidate is measured against.
 AROUND = 256
 #: Least added bytes per character. Short random strings add about one (zstandard leaves them as they are);
 #: repeated strings, and names known from the dictionary or the text around, add much less.
 NOVELTY = 0.8
-#: Least changes between digit and letter per character: random strings have 0.25 or more, names and dates below 0.1.
+#: Changes between digit and letter per character from which NOVELTY is enough: random strings of both have 0.25 or more,
+#: names and dates below 0.1. Other strings add more than unknown names of their length do: these add up to 1.1 bytes
+#: per character at 16 characters, 0.9 at 64.
 CHANGES = 0.125
+PLAIN_NOVELTY, PLAIN_BYTES = 0.82, 4
+#: Characters from which zstandard packs even random base64 into 6 bits each (0.75 bytes), and what is asked of those.
+LONG, LONG_NOVELTY = 128, 0.7
 LEVEL = 3
 
 #: Identifiers in the dictionary: the most frequent of the corpus, and these words of common languages.
@@ -91,28 +100,76 @@ class Scanner:
         return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
     def novel(self, text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
-        """Candidates within reach of a sensitive word that add too many bytes and overlap no base span."""
-        done, k = 0, 0
-        for word in SENSITIVE.finditer(text):
-            at = max(done, word.end())
-            while m := CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16)):
-                if m.start() > word.end() + REACH or "\n" in text[word.end() : m.start()]:
-                    break
-                start = m.start()
-                end = at = done = CANDIDATE.match(text, start).end()  # the whole string, beyond the reach too
-                while k < len(taken) and taken[k][1] <= start:
-                    k += 1
-                near = takewhile(lambda span: span[0] < end, islice(taken, k, None))
-                if any(span[1] > start for span in near) or not self.mixed(text[start:end]):
-                    continue
-                around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-                if self.added(around, text[start:end]) >= NOVELTY * (end - start):
-                    yield start, end, "novel"
+        """Candidates near a sensitive word that add too many bytes and overlap no base span."""
+        words = [w.span() for w in SENSITIVE.finditer(text)]
+        begins, ends = [w[0] for w in words], [w[1] for w in words]
+        wholes = [m.span() for m in WHOLE.finditer(text)]
+        base, measured, done, lasts = Spans([x[:2] for x in taken]), [], 0, self.lasts(text, wholes)
+        for _, after in words:
+            at = max(done, after)
+            while (m := CANDIDATE.search(text, at, min(len(text), after + REACH + 16))) and m.start() <= after + REACH:
+                i = bisect_right(wholes, (m.start(), len(text))) - 1  # the string that the candidate is, or ends
+                first, last, new = m.start(), lasts[i], True
+                for k in range(i, len(wholes)):
+                    start, end = max(first, wholes[k][0]), wholes[k][1]
+                    if start >= last or k > i and not new:
+                        break
+                    at = done = end
+                    new = base.meet(start, end)
+                    if not new:
+                        measured.append((start, end))
+                        if new := self.is_new(text, start, end, first, last, ends):
+                            yield start, end, "novel"
+        behind = Spans(measured)
+        for start, end in wholes:
+            k = bisect_left(begins, end)
+            if k < len(begins) and begins[k] <= end + REACH and not base.meet(start, end) and not behind.meet(start, end) and self.is_new(text, start, end, start, end, []):
+                yield start, end, "novel"
 
     @staticmethod
-    def mixed(string: str) -> bool:
-        """Digits and letters in turn, as key material has them; names, versions and dates don't."""
-        return len(CHANGE.findall(string)) >= CHANGES * len(string)
+    def lasts(text: str, wholes: list[tuple[int, int]]) -> list[int]:
+        """For each string the end of the last one that follows it like the lines of one key."""
+        out = [end for _, end in wholes]
+        for k in range(len(wholes) - 2, -1, -1):
+            if wholes[k + 1][0] - wholes[k][1] <= 64 and GAP.fullmatch(text, wholes[k][1], wholes[k + 1][0]):
+                out[k] = out[k + 1]
+        return out
+
+    def is_new(self, text: str, start: int, end: int, first: int, last: int, ends: list[int]) -> bool:
+        """Measured against the text around ``first`` to ``last``, without copies in reach behind a word that ends at one of ``ends``."""
+        string = text[start:end]
+        around = without(text, max(0, first - AROUND), first, string, ends) + without(text, last, min(len(text), last + AROUND), string, ends)
+        return self.added(around, string) >= self.least(string) * len(string)
+
+    @staticmethod
+    def least(string: str) -> float:
+        """Least added bytes per character, by length and by turns of digits and letters (key material has them; names, versions and dates don't)."""
+        if len(string) >= LONG:
+            return LONG_NOVELTY
+        return NOVELTY if len(CHANGE.findall(string)) >= CHANGES * len(string) else PLAIN_NOVELTY + PLAIN_BYTES / len(string)
+
+
+class Spans:
+    """Spans in order of their starts, asked for overlaps."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
+def without(text: str, low: int, high: int, string: str, ends: list[int]) -> str:
+    """``text[low:high]`` less the copies of ``string`` that begin in reach behind a word."""
+    parts, at, p = [], low, text.find(string, max(0, low - len(string) + 1), high + len(string)) if ends else -1
+    while -1 < p < high:
+        k = bisect_right(ends, p)
+        if k and ends[k - 1] >= p - REACH:
+            parts.append(text[at : max(at, p)])
+            at = min(high, p + len(string))
+        p = text.find(string, p + len(string), high + len(string))
+    return " ".join([*parts, text[at:high]])
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
