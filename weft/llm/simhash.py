@@ -18,9 +18,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, cut, keyed, per_batch
+from .common import col, cut, extended, keyed, per_batch, texts_of
 
 SEED = 42
 CHUNK = 1 << 16
@@ -211,20 +212,43 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     names a component unless no other id is in it (then NULL). Repeated rows give repeated results;
     an empty table gives none. Other columns are not read.
     """
+    found = rooted(df, id_col, text_col, words_per_shingle, radius)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def rooted(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int, radius: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each row; the root tells components apart that one id names."""
     prints = cut(fingerprints(keyed(df, id_col, text_col), words_per_shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     found = cut(components(near_links(nodes.select("fp"), radius)))
-    rooted = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
+    named = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_print = cut(least.join(named, "root").select("fp", "root", "component_id"))
+    return prints.join(of_print, "fp")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``df`` that name their component, with all their columns; rows without an id stay.
+    """The rows of ``df`` that name their component, one of each, with all their columns; rows without an id stay.
 
-    Only the ids that go are joined, by a broadcast if their size allows it.
+    Only the ids that go are joined, by a broadcast if their size allows it. Ids that several rows share
+    are decided row by row, by the fingerprint.
     """
-    groups = near_groups(df, id_col, text_col, words_per_shingle, radius)
-    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("weft_id")).distinct())
-    return df.join(gone, col(id_col).cast("long") == F.col("weft_id"), "left_anti")
+    groups = cut(rooted(df, id_col, text_col, words_per_shingle, radius).where("doc_id is not null"))
+    ids = cut(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone")))
+    named = lambda rows: cut(rows.select(F.col("doc_id").alias("weft_id")))
+    same = col(id_col).cast("long") == F.col("weft_id")
+    once = df.join(named(ids.where("rows > 1 or gone")), same, "left_anti")
+    several = named(ids.where("rows > 1"))
+    if not several.limit(1).count():
+        return once
+    first = groups.where("doc_id = component_id").groupBy("root", F.col("doc_id").alias("weft_id")).agg(F.min("fp").alias("weft_least"))
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"weft_fp": np.array([fingerprint(t, words_per_shingle) for t in texts_of(batch.column(at))], np.uint64).view(np.int64)}
+
+    shared = extended(df.join(several, same, "left_semi"), text_col, run, {"weft_fp": "long"})
+    stays = cut(first.select("weft_id", "weft_least"))
+    again = shared.join(stays, same & (F.col("weft_fp") == F.col("weft_least")), "left_semi")
+    order = F.row_number().over(W.partitionBy(col(id_col), "weft_fp").orderBy(col(text_col)))
+    return once.unionByName(again.withColumn("weft_repeat", order).where("weft_repeat = 1").drop("weft_repeat", "weft_fp"))
