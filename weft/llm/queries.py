@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, extract, packing, quality, secrets, simhash, tokenstore, toxicity, warc
+from . import bpe, dedup, extract, packing, quality, secrets, simhash, tokenstore, toxicity, trie, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+@query("op12_prefix_trie", f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+         lambda a, x: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step),
+t AS (SELECT conv_id, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn,
+             sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key
+      FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_key) AS pos FROM t),
+c AS (SELECT conv_id, n, conv_id - conv_id % {trie.BLOCK} AS base, xor(list_reduce(list_prepend(4294967295,
+             list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+             lambda a, b: xor(a >> 8, step[1 + (xor(a, b) & 255)])), 4294967295) % {trie.HEADS} AS h
+      FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), crc),
+m AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+turns AS (SELECT m.conv_id, pos AS depth, turn_key, words FROM m JOIN p ON p.conv_id = m.base AND pos <= h
+          UNION ALL SELECT conv_id, pos - h + m, turn_key, words FROM m JOIN p USING (conv_id) WHERE pos > h),
+k AS (SELECT conv_id, depth, words, sha256(string_agg(turn_key, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM turns
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+i AS (SELECT *, lag(key) OVER d AS parent, lead(key) OVER d IS NULL AS ends FROM k WINDOW d AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT key, any_value(depth) AS depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM i GROUP BY key),
+g AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent) USING (key)),
+below AS (SELECT a.key, sum((g.n_convs - 1) * g.words) AS saved, count(*) FILTER (n_children = 0) AS leaves
+          FROM i AS a JOIN g ON g.conv_id = a.conv_id AND g.depth >= a.depth GROUP BY a.key)
+SELECT g.conv_id::BIGINT AS conv_id, g.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, g.n_convs::BIGINT AS n_convs, g.n_children::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, g.ends_sha256
+FROM g JOIN below USING (key) LEFT JOIN n AS o ON o.key = g.parent
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
