@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, extract, packing, quality, secrets, simhash, tokenstore, toxicity, trie, warc, whitening
+from . import bpe, dedup, extract, language, packing, quality, secrets, simhash, tokenstore, toxicity, trie, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ FROM g JOIN below USING (key) LEFT JOIN n AS o ON o.key = g.parent
 """)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
