@@ -22,6 +22,8 @@ from .wordlang import FEATURES, Words, emissions, features, posteriors
 
 #: Labelled rows learned from: at most so many of a language, and in all (those of the smallest hash).
 ROWS_PER_LANGUAGE, TRAIN_ROWS = 500, 8_000
+#: A language's rows are first chosen from in so many cells, so that a common one isn't sorted by one task.
+CELLS = 64
 #: Of each row, this many stretches, evenly spread over the whole text, of so many words at most.
 STRETCHES, STRETCH = 4, 24
 #: Stretches of a training sequence.
@@ -52,8 +54,11 @@ class Model:
 def training_rows(docs: DataFrame, per_language: int, rows: int) -> DataFrame:
     """(lang, key, text) of at most ``rows`` labelled rows that are not held out, written."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id", "text"))
+    # hash values spread evenly: a cell holds more than four times its share of a language's smallest ones next to never
+    cell = Window.partitionBy("lang", F.pmod("key", F.lit(CELLS))).orderBy("key")
+    some = usable.select("lang", "key").withColumn("n", F.row_number().over(cell)).where(F.col("n") <= 8 + 4 * per_language // CELLS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = usable.select("lang", "key").withColumn("n", rank).where(F.col("n") <= per_language).orderBy("n", "lang").limit(rows)
+    chosen = some.withColumn("n", rank).where(F.col("n") <= per_language).orderBy("n", "lang").limit(rows)
     return cut(usable.join(F.broadcast(cut(chosen.select("lang", "key").distinct())), ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "key", "text"))
 
 
