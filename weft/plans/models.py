@@ -19,7 +19,7 @@ from weft.plans.relational import COS_SQL, FIRST_SQL, small_if
 from weft.plans.roles import (
     MAPPING_SQL, SONG_SQL, TOKENS_SQL, VECS_SQL, WORD_VECTOR_SQL, annotator, corpus, corpus_tokens, mapping, song_tags, vectors,
 )
-from weft.plans.vectors import hashed_vector_tokens, word_vector_tokens
+from weft.plans.vectors import word_vector_tokens
 from weft.session import cut
 from weft.streaming import streams
 
@@ -116,9 +116,9 @@ def scree_table(spark, sf):
 # ---------------------------------------------------------------- clusters
 
 
-def doc_bins(spark, sf, clusters, tokens=hashed_vector_tokens):
+def doc_bins(spark, sf, clusters):
     """Clusters of the word vectors as a histogram per document."""
-    return C.doc_bins(tokens(spark, sf), "doc_id", "vec_id", cut(clusters.select("vec_id", "cluster"))).withColumn("share", F.round("share", 6))
+    return C.doc_bins(word_vector_tokens(spark, sf), "doc_id", "vec_id", cut(clusters.select("vec_id", "cluster"))).withColumn("share", F.round("share", 6))
 
 
 @query("kmeans_bins")
@@ -167,7 +167,7 @@ def dbscan(spark, sf):
   nu AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT c FROM cl)), {TOKENS_SQL},
   b AS (SELECT doc_id, cluster FROM (SELECT doc_id, {WORD_VECTOR_SQL} AS vec_id FROM tok) JOIN cl USING (vec_id) JOIN nu USING (c)), {HISTOGRAM_SQL.format(k='(SELECT count(*) FROM nu)')}""")
 def density_bins(spark, sf):
-    return doc_bins(spark, sf, C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine"), word_vector_tokens)
+    return doc_bins(spark, sf, C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine"))
 
 
 def tree(spark, sf):
@@ -253,7 +253,7 @@ def repeated_topic_models(spark, sf):
 
 def labelled(spark, sf):
     """(doc_id, v, quality, toxic): labelled documents with their mean word vector."""
-    t = V.term_counts(hashed_vector_tokens(spark, sf), "doc_id", "vec_id")
+    t = V.term_counts(word_vector_tokens(spark, sf), "doc_id", "vec_id")
     docs = V.mean_by(V.lookup_word_vectors(t, "vec_id", vectors(spark, sf), "v"), ["doc_id"], "v", F.col("tf").cast("double"), out="v")
     return cut(docs.join(table(spark, sf, "labels"), "doc_id").select("doc_id", "v", "quality", "toxic"))
 

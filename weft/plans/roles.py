@@ -97,21 +97,12 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_vector_id(spark: SparkSession, sf: str) -> Column:
-    """The id of the stored vector that stands for the word ``w``, as WORD_VECTOR_SQL has it.
-
-    It depends on length and first character only, so most vectors are never hit.
-    """
+    """The id of the stored vector that stands for the word ``w``: a hash of the whole word, so that every vector may be hit."""
     n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
-    return ((F.length("w") * 31 + F.ascii("w")) % n).cast("bigint")
-
-
-WORD_VECTOR_SQL = "(length(w) * 31 + ascii(w)) % (SELECT count(*) FROM embeddings)"
+    return F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("bigint") % n
 
 
-def hashed_vector_id(spark: SparkSession, sf: str) -> Column:
-    """The id of the stored vector that stands for the word ``w``, by a hash of the whole word: every vector may be hit."""
-    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
-    return F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("bigint") % n
+WORD_VECTOR_SQL = "(('0x' || substr(md5(w), 1, 15))::BIGINT % (SELECT count(*) FROM embeddings))"
 
 
 VECS_SQL = "vx AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
