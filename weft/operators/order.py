@@ -42,3 +42,20 @@ def ordered_chunks(
         .agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("_v")))).alias("_s"))
         .select(*keys, "part", F.transform("_s", lambda s: s["_v"]).alias(out))
     )
+
+
+def before(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None, tops: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with sums and maxima (result: column) over the rows that come before each one within ``keys`` by ``order``.
+
+    Without such rows a sum is 0 and a maximum NULL. Like ``positions``: a key may own any share of the rows; every
+    range of rows hands on one total per key.
+    """
+    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    every = [(out, col, F.sum) for out, col in (sums or {}).items()] + [(out, col, F.max) for out, col in (tops or {}).items()]
+    inside = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part", *keys).agg(*(fn(col).alias(out) for out, col, fn in every))
+    carried = totals.select("_part", *keys, *(fn(out).over(ahead).alias(f"_{out}") for out, _, fn in every))
+    rows = ranged.select("*", *(fn(col).over(inside).alias(out) for out, col, fn in every)).join(carried, ["_part", *keys])
+    found = {out: F.coalesce(out, F.lit(0)) + F.coalesce(f"_{out}", F.lit(0)) for out in sums or {}} | {out: F.greatest(out, f"_{out}") for out in tops or {}}
+    return rows.select(*df.columns, *(c.alias(out) for out, c in found.items()))

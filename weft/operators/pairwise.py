@@ -152,20 +152,16 @@ def nearest(items: DataFrame, key: str, metric, k: int, block_rows: int = 1000)
 
     kt = key_type(items, key)
 
-    def best(ki, kj, d, same):
-        rows = []
-        for r in range(len(ki)):
-            ok = ~np.isnan(d[r]) & (kj != ki[r])
-            idx = np.flatnonzero(ok)
-            idx = idx[np.lexsort((kj[idx], d[r][idx]))[:k]]
-            rows.append(pd.DataFrame({"item": np.repeat(ki[r], len(idx)), "neighbour": kj[idx], "dist": d[r][idx]}))
-        return rows
+    def best(ki, kj, d):
+        """Both sides are sorted by key, so a stable sort takes the lower key of two at one distance."""
+        d = np.where(ki[:, None] == kj[None, :], np.nan, d)
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        dist = np.take_along_axis(d, at, axis=1)
+        keep = ~np.isnan(dist)
+        return pd.DataFrame({"item": np.repeat(ki, keep.sum(axis=1)), "neighbour": kj[at[keep]], "dist": dist[keep]})
 
     def emit(ka, kb, d, same):
-        rows = best(ka, kb, d, same)
-        if not same:
-            rows += best(kb, ka, d.T, same)
-        return pd.concat(rows)
+        return best(ka, kb, d) if same else pd.concat([best(ka, kb, d), best(kb, ka, d.T)])
 
     out = run_blocks(items, key, metric, emit, f"item {kt}, neighbour {kt}, dist double", block_rows)
     return top_k(out, ["item"], [F.asc("dist"), F.asc("neighbour")], k)

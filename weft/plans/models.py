@@ -162,12 +162,41 @@ def dbscan(spark, sf):
     return C.dbscan(vectors(spark, sf), "vec_id", "cosine", 0.68, 4)
 
 
-@query("density_bins", f"""WITH RECURSIVE {COS_SQL}, {density_sql(0.64, 3)}
-  , cl AS (SELECT vec_id, coalesce(cm.c, bo.c) AS c FROM vx LEFT JOIN cm ON cm.n = vec_id LEFT JOIN bo ON bo.n = vec_id WHERE coalesce(cm.c, bo.c) IS NOT NULL),
+#: The hierarchy step by step: Prim's tree, its edges by weight, clusters of MIN_SIZE items, and the choice by stability.
+MIN_SIZE, MIN_SAMPLES = 4, 2
+HIERARCHY_SQL = f"""dd AS (SELECT i, j, round(dist, 9) AS d FROM cp WHERE dist IS NOT NULL), bd AS MATERIALIZED (SELECT i, j, d FROM dd UNION ALL SELECT j, i, d FROM dd),
+  core AS MATERIALIZED (SELECT i AS vec_id, max(d) AS core, row_number() OVER (ORDER BY i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM bd) WHERE k <= {MIN_SAMPLES} GROUP BY i),
+  wr AS MATERIALIZED (SELECT a.n AS n, list({{'w': CASE WHEN a.n = b.n THEN 1e300 ELSE greatest(d, a.core, b.core) END, 'i': least(a.n, b.n), 'j': greatest(a.n, b.n), 'k': b.n}} ORDER BY b.n) AS row
+         FROM core a CROSS JOIN core b LEFT JOIN bd ON bd.i = a.vec_id AND bd.j = b.vec_id GROUP BY a.n),
+  prim AS (SELECT 0 AS step, 1::BIGINT AS at, NULL::STRUCT(w DOUBLE, i BIGINT, j BIGINT, k BIGINT) AS edge, [{{'w': 1e300, 'i': x, 'j': x, 'k': x}} FOR x IN range(1, (SELECT count(*) + 1 FROM core))] AS best, [1::BIGINT] AS inside
+    UNION ALL SELECT step + 1, e.k, e, best, list_append(inside, e.k) FROM (SELECT step, inside, best, list_sort(list_filter(best, lambda x: NOT list_contains(inside, x.k)))[1] AS e
+      FROM (SELECT step, inside, [CASE WHEN z[1] < z[2] THEN z[1] ELSE z[2] END FOR z IN list_zip(best, row)] AS best FROM prim JOIN wr ON wr.n = prim.at)) WHERE e IS NOT NULL),
+  ed AS MATERIALIZED (SELECT edge.w AS w, edge.i AS i, edge.j AS j, row_number() OVER (ORDER BY edge.w, edge.i, edge.j) AS e FROM prim WHERE edge IS NOT NULL),
+  mg AS (SELECT 0::BIGINT AS e, NULL::DOUBLE AS lam, NULL::BIGINT AS ca, NULL::BIGINT AS cb, NULL::BIGINT AS c, NULL::BIGINT[] AS fell, range(1, (SELECT count(*) + 1 FROM core)) AS comp, [NULL::BIGINT FOR x IN range(0, (SELECT count(*) FROM core))] AS ids
+    UNION ALL SELECT e, lam, ca, cb, c, CASE WHEN c IS NULL THEN [] WHEN ca IS NULL AND cb IS NULL OR ca IS NOT NULL AND cb IS NOT NULL THEN ma || mb WHEN ca IS NULL THEN ma ELSE mb END,
+        [CASE WHEN x = b THEN a ELSE x END FOR x IN comp], [CASE WHEN k = a THEN c ELSE ids[k] END FOR k IN range(1, len(ids) + 1)]
+      FROM (SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN e WHEN ca IS NOT NULL OR cb IS NOT NULL THEN coalesce(ca, cb) WHEN len(ma) + len(mb) >= {MIN_SIZE} THEN e END AS c
+        FROM (SELECT ed.e AS e, 1 / greatest(ed.w, 1e-9) AS lam, comp, ids, comp[ed.i] AS a, comp[ed.j] AS b, ids[comp[ed.i]] AS ca, ids[comp[ed.j]] AS cb,
+            list_filter(range(1, len(comp) + 1), lambda k: comp[k] = comp[ed.i]) AS ma, list_filter(range(1, len(comp) + 1), lambda k: comp[k] = comp[ed.j]) AS mb
+          FROM mg JOIN ed ON ed.e = mg.e + 1))),
+  ev AS MATERIALIZED (SELECT e, lam, ca, cb, c, fell FROM mg WHERE c IS NOT NULL),
+  up AS (SELECT unnest([ca, cb]) AS c, e AS parent, lam FROM ev WHERE ca IS NOT NULL AND cb IS NOT NULL),
+  ow AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY c) AS k, any_value(up.lam) IS NULL AS root, round(sum(len(fell) * ev.lam) - any_value(up.lam) * sum(len(fell)), 9) AS own, any_value(up.parent) AS parent FROM ev LEFT JOIN up USING (c) GROUP BY c),
+  kd AS MATERIALIZED (SELECT p.k AS k, p.c AS c, p.own AS own, list(q.k) FILTER (q.k IS NOT NULL) AS kids FROM ow p LEFT JOIN ow q ON q.parent = p.c GROUP BY ALL),
+  eom AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS c, false AS win, []::DOUBLE[] AS best
+    UNION ALL SELECT k, c, coalesce(own >= round(below, 9), false), list_append(best, greatest(coalesce(own, 0), below))
+      FROM (SELECT kd.*, best, coalesce(list_sum([best[x] FOR x IN kids]), 0.0) AS below FROM eom JOIN kd ON kd.k = eom.k + 1)),
+  ab AS (SELECT c, c AS a FROM ow UNION ALL SELECT ab.c, ow.parent FROM ab JOIN ow ON ow.c = ab.a WHERE ow.parent IS NOT NULL),
+  tp AS (SELECT ab.c AS c, max(a) AS top FROM ab JOIN eom ON eom.c = a AND win GROUP BY 1),
+  mb AS (SELECT DISTINCT vec_id, top FROM (SELECT unnest(fell) AS n, c FROM ev) JOIN tp USING (c) JOIN core USING (n)),
+  cl AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY top) AS c FROM mb)"""
+
+
+@query("density_bins", f"""WITH RECURSIVE {COS_SQL}, {HIERARCHY_SQL},
   nu AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT c FROM cl)), {TOKENS_SQL},
   b AS (SELECT doc_id, cluster FROM (SELECT doc_id, {WORD_VECTOR_SQL} AS vec_id FROM tok) JOIN cl USING (vec_id) JOIN nu USING (c)), {HISTOGRAM_SQL.format(k='(SELECT count(*) FROM nu)')}""")
 def density_bins(spark, sf):
-    return doc_bins(spark, sf, C.density_bins(vectors(spark, sf), "vec_id", "v", 0.64, 3, metric="cosine"))
+    return doc_bins(spark, sf, C.density_bins(vectors(spark, sf), "vec_id", "v", MIN_SIZE, MIN_SAMPLES, metric="cosine"))
 
 
 def tree(spark, sf):
