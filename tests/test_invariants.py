@@ -68,13 +68,6 @@ def test_clean_keywords(spark):
     assert df.select(X.clean_keywords(F.coalesce("u", F.lit("")))).first()[0] == ""
 
 
-def test_phrases_do_not_overlap(spark):
-    toks = frame(spark, [(1, i, w) for i, w in enumerate("a b a b c".split())], "d int, pos int, w string")
-    phrases = frame(spark, [("a", "b"), ("b", "a")], "w1 string, w2 string")
-    got = [r["w"] for r in T.phrase_merge(toks, "d", "pos", "w", phrases).orderBy("pos").collect()]
-    assert got == ["a-b", "a-b", "c"]
-
-
 def test_nested_enrich_with_and_without_cascade(spark):
     df = spark.sql("SELECT 1 AS id, named_struct('a', named_struct('x', CAST(NULL AS INT)), 'b', array(named_struct('v', 7))) AS r")
     paths = {"first": "a.x", "second": "b[0].v"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as X
 from weft.operators import cooccur as C
+from weft.operators import phrases as P
 from weft.operators import textops as T
 from weft.operators.ranking import top_k
 from weft.operators.relational import group_concat_docs
@@ -54,19 +55,27 @@ def lemma_lookup(spark, sf):
     return T.lemma_lookup(counted, "w", lemmas, plurals=True).select("w", "lemma", "n")
 
 
-@query("phrase_merge", r"""WITH t AS (SELECT doc_id, unnest(m) AS w, generate_subscripts(m, 1) - 1 AS pos FROM
-    (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM documents)),
-  b AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM t),
-  ph AS (SELECT w AS w1, nx AS w2 FROM b WHERE nx IS NOT NULL GROUP BY ALL HAVING count(*) >= 20),
-  h AS (SELECT b.*, w1 IS NOT NULL AS m FROM b LEFT JOIN ph ON w = w1 AND nx = w2),
-  g AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM h),
-  k AS (SELECT *, m AND sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY pos) % 2 = 1 AS take FROM g),
-  i AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY doc_id ORDER BY pos), false) AS inside FROM k)
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN take THEN w || '-' || nx ELSE w END AS w FROM i WHERE NOT inside""")
+def merged_sql(least: int) -> str:
+    """Tables over t(doc_id, w, pos): its runs of two to five tokens that occur ``least`` times, and mt(doc_id, pos, w) with the longest ones merged from left to right."""
+    runs = " UNION ALL ".join(f"SELECT doc_id, pos, {n} AS n, {' || chr(31) || '.join(['w', *(f'w{k}' for k in range(1, n))])} AS p FROM ld WHERE w{n - 1} IS NOT NULL" for n in range(2, 6))
+    return f"""ld AS (SELECT *, {', '.join(f'lead(w, {k}) OVER d AS w{k}' for k in range(1, 5))} FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+  rn AS ({runs}), ph AS (SELECT p FROM rn GROUP BY p HAVING count(*) >= {least}),
+  hit AS MATERIALIZED (SELECT doc_id, pos, max(n) AS n, max_by(p, n) AS p FROM rn JOIN ph USING (p) GROUP BY ALL),
+  nx AS MATERIALIZED (SELECT a.*, b.pos AS next FROM hit a ASOF LEFT JOIN hit b ON a.doc_id = b.doc_id AND a.pos + a.n <= b.pos),
+  tk AS (SELECT * FROM nx WHERE (doc_id, pos) IN (SELECT (doc_id, min(pos)) FROM hit GROUP BY doc_id) UNION ALL SELECT nx.* FROM tk JOIN nx ON nx.doc_id = tk.doc_id AND nx.pos = tk.next),
+  cv AS (SELECT doc_id, unnest(range(pos + 1, pos + n)) AS pos FROM tk),
+  mt AS (SELECT doc_id, pos, coalesce(replace(p, chr(31), '-'), w) AS w FROM t LEFT JOIN tk USING (doc_id, pos) ANTI JOIN cv USING (doc_id, pos))"""
+
+
+CORPUS_LISTS = r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM documents"
+
+
+@query("phrase_merge", f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(m) AS w, generate_subscripts(m, 1) - 1 AS pos FROM ({CORPUS_LISTS})), {merged_sql(20)}
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, w FROM mt""")
 def phrase_merge(spark, sf):
-    toks = T.token_table(corpus(spark, sf), "doc_id", X.words(F.col("text")), "w")
-    phrases = T.frequent_phrases(toks, "doc_id", "pos", "w", 20)
-    return T.phrase_merge(toks, "doc_id", "pos", "w", phrases)
+    docs = corpus(spark, sf).select("doc_id", X.words(F.col("text")).alias("tokens"))
+    merged = P.merge_phrases(docs, "tokens", P.frequent_phrases(docs, F.col("tokens"), 20), starts="pos")
+    return merged.select("doc_id", F.explode(F.arrays_zip("pos", "tokens")).alias("_z")).select("doc_id", "_z.pos", F.col("_z.tokens").alias("w"))
 
 
 PH_SQL = r"""CASE WHEN regexp_matches({w}, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN '-EMAIL-' WHEN regexp_matches({w}, '^[0-9]+([.,][0-9]+)?$') THEN '-NUMBER-' ELSE {w} END"""
@@ -186,7 +195,6 @@ def xy_string(spark, sf):
 
 WINDOW_SQL = """t AS (SELECT doc_id, unnest(m) AS w, generate_subscripts(m, 1) AS pos FROM ({src})),
   cw AS (SELECT a.w AS before, b.w AS after, sum(6 - (b.pos - a.pos)) AS w FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 5 GROUP BY ALL)"""
-CORPUS_LISTS = r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS m FROM documents"
 CW_SQL = WINDOW_SQL.format(src=CORPUS_LISTS)
 
 
@@ -199,11 +207,16 @@ CTX_LISTS = f"""SELECT doc_id, list_transform(list_filter(flatten(list_transform
   lambda w: {PH_SQL.format(w='w')}) AS m FROM documents"""
 
 
-@query("cooccur_window_context", f"""WITH {WINDOW_SQL.format(src=CTX_LISTS)}, sy AS (SELECT before, after, sum(w) AS w FROM
+CTX_SQL = f"""t0 AS ({CTX_LISTS}), t AS (SELECT doc_id, unnest(m) AS w, generate_subscripts(m, 1) - 1 AS pos FROM t0), {merged_sql(10)}"""
+
+
+@query("cooccur_window_context", f"""WITH RECURSIVE {CTX_SQL}, {WINDOW_SQL.format(src="SELECT doc_id, list(w ORDER BY pos) AS m FROM mt GROUP BY doc_id").replace("t AS", "tt AS", 1).replace("FROM t a JOIN t b", "FROM tt a JOIN tt b")}, sy AS (SELECT before, after, sum(w) AS w FROM
     (SELECT before, after, w FROM cw UNION ALL SELECT after, before, w FROM cw) GROUP BY ALL)
   SELECT before, after, round(w::DOUBLE / (SELECT max(w) FROM sy)::DOUBLE, 6) AS weight FROM sy""")
 def cooccur_window_context(spark, sf):
-    got = C.cooccur_window_context(corpus(spark, sf), "doc_id", "text", CONTEXTS)
+    docs = corpus(spark, sf)
+    phrases = P.frequent_phrases(C.context_tokens(docs, "doc_id", "text", CONTEXTS), F.col("tokens"), 10)
+    got = C.cooccur_window_context(docs, "doc_id", "text", CONTEXTS, phrases=phrases)
     return got.withColumn("weight", F.round("weight", 6))
 
 
