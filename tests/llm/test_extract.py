@@ -17,7 +17,7 @@ def field():
 def test_held_out_pages(field):
     right = total = 0
     for page in labelled_pages(200, seed=1234):
-        found = extract.blocks(page, labelled=True)
+        found = extract.marked(extract.blocks(page, labelled=True))
         right += sum(b.main == d for b, d in zip(found, field.decode(found)))
         total += len(found)
     assert right > 0.97 * total
@@ -59,3 +59,45 @@ def test_edge_rows(spark, field):
     assert all(r.n_chars == len(r.text) for r in out) and {r.text for r in out if r.doc_id in (2, 3)} == {""}
     assert {r.text for r in out if r.doc_id in (1, None)} == {P}
     assert extract.main_text(df.limit(0)).count() == 0
+
+
+STORY = [
+    "The river rose slowly over the course of three days and nobody in the town seemed to mind.",
+    "By the end of the week the lower fields were under water and the cattle had been moved.",
+    "An old man said that it had been much worse in the year when he was born near the bridge.",
+]
+PLAIN = ["{}", "<body>{}</body>", "<html><body>{}</body></html>", "<table><tr><td>{}</td></tr></table>", "<main>{}</main>", "<div>{}</div>", "<section>{}</section>",
+         '<div id="wrapper"><div class="col-8">{}</div></div>', '<div class="container">{}</div>', "<article>{}</article>", '<div class="content">{}</div>']
+
+
+@pytest.mark.parametrize("holder", PLAIN)
+def test_plain_pages_are_whole(field, holder):
+    inner = "".join(f"<p>{s}</p>" for s in STORY)
+    assert field.text(holder.format(inner)) == " ".join(STORY)
+    around = f"<nav><a href='/'>Home</a> <a href='/b'>Blog</a></nav>{holder.format(inner)}<footer>&copy; 2020 Example Inc. All rights reserved.</footer>"
+    assert field.text(around) == " ".join(STORY)
+
+
+def test_text_without_elements(field):
+    for page in (" ".join(STORY), f"<body>{' '.join(STORY)}</body>"):
+        assert field.text(page) == " ".join(STORY)
+
+
+def test_short_articles_and_cue_words(field):
+    assert field.text("<article><p>Yes.</p></article>") == "Yes."
+    cues = "Visitors can contact the office about cookies and the newsletter at home."
+    assert field.text(f"<article><p>{cues}</p>{''.join(f'<p>{s}</p>' for s in STORY)}</article>") == " ".join([cues, *STORY])
+
+
+def test_references_end_with_their_run(field):
+    assert [b.text for b in extract.blocks("<p>Tom &l<b>t;</b> Jerry &amp<i>;</i> co</p>")] == ["Tom &lt; Jerry &; co"]
+
+
+def test_given_pages_hold_their_articles(field, spark, sf):
+    """The pages of the tables have their story in one article: its blocks, and nothing else."""
+    import re
+
+    for row in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        inner = re.findall(r"<article[^>]*>(.*?)</article>", row.html or "", re.S)
+        if len(inner) == 1 and "<div" not in inner[0]:
+            assert field.text(row.html) == " ".join(b.text for b in extract.blocks(inner[0]))

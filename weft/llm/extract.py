@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import col, extended, texts_of
-from .labelled_pages import labelled_pages
+from .labelled_pages import MARK, labelled_pages
 
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td
@@ -51,12 +51,17 @@ cookie consent gdpr notice alert warning popup modal newsletter subscri share so
 content article story""".split()
 
 
+#: Tags and parts of names of elements that hold a story.
+HOLDS = re.compile(r"^(?:article|main)\b| .*(?:content|article|story|post|entry|main|body|text)")
+
+
 @dataclass
 class Block:
     text: str
     path: tuple[str, ...]  # the open elements as ``tag attributes``
     links: int  # characters inside links
     main: bool = False
+    bare: bool = False  # no block of the page lies in an element that by tag or name holds a story
 
 
 def element(tag: str, attributes: str) -> str:
@@ -157,12 +162,25 @@ def blocks(page: str, labelled: bool = False) -> list[Block]:
         parts.append(page[at:])
         linked += len(page) - at if in_link else 0
     keep(linked)
-    return out
+    return whole(out)
+
+
+def whole(found: list[Block]) -> list[Block]:
+    """The blocks, with what only the page as a whole tells."""
+    if not any(held(b.path) for b in found):
+        for b in found:
+            b.bare = True
+    return found
+
+
+@functools.lru_cache(maxsize=100_000)
+def held(path: tuple[str, ...]) -> bool:
+    return any(HOLDS.search(key) for key in path)
 
 
 def flush(out: list[Block], stack: list, parts: list[str], linked: int) -> None:
     """End the block that is being read."""
-    text = " ".join(html.unescape("".join(parts)).split())
+    text = " ".join("".join(map(html.unescape, parts)).split())  # a reference ends with its run of text
     parts.clear()
     if text:
         out.append(Block(text, tuple(key for _, key, _ in stack), linked, any(main for *_, main in stack)))
@@ -210,7 +228,8 @@ def text_features(block: Block) -> list[str]:
     words, text = block.text.count(" ") + 1, block.text
     share = min(1.0, block.links / len(text))
     size = 0 if words < 4 else 1 if words < 10 else 2 if words < 30 else 3
-    found = [f"words {size}", f"links {0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}", "sentence" if text[-1] in ".!?…:\"”»" else "no sentence"]
+    place = ("bare" if block.bare else "held" if held(block.path) else "outside") + (" named" if any(" " in key for key in block.path) else "")
+    found = [place, f"{place} words {size}", f"{place} at {block.path[-1].split(' ')[0] if block.path else 'page'}", f"words {size}", f"links {0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}", "sentence" if text[-1] in ".!?…:\"”»" else "no sentence"]
     if size < 3:
         found += {f"cue {(m[1] or 'sign').lower()}" for m in CUES.finditer(text)}
     return found
@@ -254,9 +273,17 @@ class Field:
         return " ".join(b.text for b, main in zip(found, self.decode(found)) if main)
 
 
+def marked(found: list[Block]) -> list[Block]:
+    """Main text outside of any element begins with MARK."""
+    for b in found:
+        if MARK in b.text:
+            b.main, b.text = True, b.text.replace(MARK, "")
+    return found
+
+
 def train(pages: list[str], rounds: int = 150, rate: float = 0.2, ridge: float = 0.02) -> Field:
     """Fit by Adam steps on the penalised log-likelihood of all pages at once (forward and backward in numpy)."""
-    sequences = [s for s in (blocks(p, labelled=True) for p in pages) if s]
+    sequences = [s for s in (marked(blocks(p, labelled=True)) for p in pages) if s]
     names = sorted({f for s in sequences for b in s for f in (*path_features(b.path), *text_features(b))})
     number = {f: i for i, f in enumerate(names)}
     n, longest = len(sequences), max(map(len, sequences))

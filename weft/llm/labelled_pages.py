@@ -30,11 +30,20 @@ HOLDERS = ["article!"] * 3 + ["main!", "div", "div", "section", "td"]
 HOLDER_NAMES = "content article post entry main story body text articlebody page maincontent"
 AROUND = ["div", "div", "section", "form", "main", ""]
 AFFIXES = ("{}", "{}", "site-{}", "{}-1", "{}Box", "{}_area", "user-{}", "{} clearfix", "page{}", "{}-section")
+#: Words of menus and forms that stories use as well, and how often.
+CUE_WORDS, CUE_SHARE = "contact cookies comments search share home related privacy login newsletter reply accept".split(), 0.05
+#: Begins main text that no element holds.
+MARK = "\x01"
+#: What plain pages are made of, and what they come in: nothing that tells a story by tag or name.
+PLAIN_BLOCKS = ["<p data-main>%l</p>"] * 4 + ["<p data-main>%s</p>"] * 3 + ["<p data-main>%w.</p>", "<p data-main>%l", "<div data-main>%l</div>", "<ul data-main><li>%s</li><li>%w</li></ul>", "<h2 data-main>%w</h2>", "<h1 data-main>%w</h1>", "<blockquote data-main>%s</blockquote>"]
+PLAIN_HOLDERS = ["{}"] * 3 + ["<body>{}</body>"] * 2 + ["<div>{}</div>"] * 2 + ["<div><div>{}</div></div>", "<main>{}</main>", "<article>{}</article>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", '<div id="wrapper"><div class="col-8">{}</div></div>', '<div class="container">{}</div>', '<div class="row"><div class="column">{}</div></div>', '<div id="page">{}</div>', "<center>{}</center>"]
+#: Share of plain pages, of those without any element, and of those with other parts around.
+PLAIN, NO_ELEMENT, WITH_PARTS = 0.4, 0.15, 0.5
 WORDS = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
 
 
 def words(pick: random.Random, low: int, high: int) -> str:
-    return " ".join(pick.choice(WORDS) for _ in range(pick.randint(low, high)))
+    return " ".join(pick.choice(CUE_WORDS if pick.random() < CUE_SHARE else WORDS) for _ in range(pick.randint(low, high)))
 
 
 def sentence(pick: random.Random, low: int, high: int) -> str:
@@ -65,8 +74,21 @@ def parts(pick: random.Random, kinds: list[str], share: float) -> str:
     return "".join(part(pick, k) for k in kinds if pick.random() < share)
 
 
+def plain_page(pick: random.Random) -> str:
+    """A story in plain elements or none, alone or with other parts before and after."""
+    story = MARK + pick.choice(["%l", "%l %l", "%s", "%l<br>%l"]) if pick.random() < NO_ELEMENT else "".join(pick.choice(PLAIN_BLOCKS) for _ in range(pick.randint(1, 6)))
+    if story[0] != MARK or pick.random() < 0.5:
+        story = pick.choice(PLAIN_HOLDERS).format(story)
+    if pick.random() >= WITH_PARTS:
+        return filled(story, pick)
+    before, after = parts(pick, ["notice", "header", "menu", "advert"], 0.4), parts(pick, ["comments", "side", "advert", "form", "footer"], 0.4)
+    return filled(before + story + after, pick)
+
+
 def labelled_page(pick: random.Random) -> str:
-    body = [f"<h1 data-main>{pick.choice(['%w', '%s'])}</h1>"] if pick.random() < 0.9 else []
+    if pick.random() < PLAIN:
+        return plain_page(pick)
+    body = [f"<h1 data-main>{pick.choice(['%w', '%s'])}</h1>"] if pick.random() < 0.75 else []
     for _ in range(pick.randint(1, 7)):
         body.append(pick.choice(BLOCKS))
         if pick.random() < 0.15:
@@ -86,6 +108,6 @@ def labelled_page(pick: random.Random) -> str:
     return filled(before + story + after, pick)
 
 
-def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 1000, seed: int = 7) -> list[str]:
     pick = random.Random(seed)
     return [labelled_page(pick) for _ in range(n)]
