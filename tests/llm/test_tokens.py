@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weft.llm import bpe, tokens, tokenstore
@@ -138,3 +139,9 @@ def test_documents_over_several_frames(monkeypatch):
             else:
                 got.append((None if flag & 1 else d, part.tolist()))
     assert got == [(d, v.tolist()) for d, v in documents]
+
+
+def test_files_are_in_order_of_their_numbers(spark):
+    names = [f"file:/x/part-1/part-{n}-a-c000.ids" for n in ("00002", "99999", "100000", "100001")]
+    df = spark.createDataFrame([(p,) for p in reversed(names)], "path string")
+    assert [r.path for r in df.orderBy(tokenstore.file_number(F.col("path")), "path").collect()] == names

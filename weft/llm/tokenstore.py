@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -255,10 +255,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = listed.mapInArrow(run, "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
     rows = cut(rows)
     sums = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    before = cut(sums.select("path", (F.sum("n").over(W.orderBy("path")) - F.col("n")).alias("base")))
+    before = cut(sums.select("path", (F.sum("n").over(W.orderBy(file_number(F.col("path")), "path")) - F.col("n")).alias("base")))
     return rows.join(before, "path").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def file_number(path: Column) -> Column:
+    """The number that Spark gave a file; beyond five digits the names don't sort like it."""
+    return F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def token_files(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of ``df`` to the shared folder and read them back (see ``read_tokens``)."""
     path = scratch_path(df.sparkSession, "tokens")
