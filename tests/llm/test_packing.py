@@ -79,3 +79,45 @@ def test_documents(docs):
     out = packing.packed(docs.repartition(3, "doc_id"), BYTE)
     check(out.collect(), [(r.doc_id, r.text) for r in docs.collect()])
     assert zlib.crc32(b"") == 0
+
+
+def test_unfinished_windows_are_bounded():
+    """Documents of which no two fit into a window: the unfinished ones never hold more than the bound and a window."""
+    packer, ids, seen, windows, most = packing.Packer(2048), np.arange(1100, dtype=np.uint32), Counter(), 0, 0
+    n = 1_000_000
+
+    def take(found):
+        nonlocal windows
+        for w in found:
+            windows += 1
+            assert w.fill == 2048
+            for p in w.pieces:
+                seen[p.doc_id] += len(p.ids)
+
+    for d in range(n):
+        take(packer.document(d, ids))
+        most = max(most, packer.held)
+    assert most <= packing.OPEN_IDS + 2048
+    assert packer.held == sum(w.fill for level in packer.windows for w in level)
+    rest = list(packer.finish())
+    for w in rest:
+        assert w.fill & (w.fill - 1) == 0
+        for p in w.pieces:
+            seen[p.doc_id] += len(p.ids)
+    assert len(seen) == n and set(seen.values()) == {1100}
+    assert windows * 2048 + sum(w.fill for w in rest) == 1100 * n
+
+
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(0, 60))
+def test_any_bound_keeps_every_id_once(lengths, most):
+    packer, windows = packing.Packer(16, most), []
+    for d, n in enumerate(lengths):
+        windows += packer.document(d, np.arange(n))
+        assert packer.held <= max(most, 15)
+    seen = defaultdict(list)
+    for w in [*windows, *packer.finish()]:
+        assert w.fill & (w.fill - 1) == 0 and w.fill <= 16
+        for p in w.pieces:
+            seen[p.doc_id] += [(p.start, p.ids.tolist())]
+    for d, n in enumerate(lengths):
+        assert [i for _, ids in sorted(seen[d]) for i in ids] == list(range(n))

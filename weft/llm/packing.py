@@ -4,14 +4,17 @@ Every task packs the documents of its own partition, in the order it reads them,
 ``open_at[h]`` counts the windows filled up to level h. A piece goes to the level that makes the sum
 of the squared counts smallest, a new window being level zero. Full windows leave at once; the
 array and the unfinished windows are all that a task holds. A document longer than a window is cut
-into full windows and a rest. What is unfinished at the end is cut to fill each other up, and the last
-window to powers of two, which need no padding.
+into full windows and a rest. Where pieces don't fit each other and unfinished windows come to hold OPEN_IDS,
+the emptiest are cut to fill the fullest until half of that is left; so is what is unfinished at the end, and the
+last window is cut to powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,10 @@ from .common import arrow_schema, keyed, slices, small_batches
 from .tokens import ENCODED, encoder, shipped
 
 WINDOW = 2048
+#: Ids in unfinished windows at most (and a window more).
+OPEN_IDS = 1 << 21
+#: Rows of an output batch.
+ROWS = 4096
 END_ID = 1
 #: Sequence ids are partition * 2^SEQUENCE_BITS + number within the task.
 SEQUENCE_BITS = 33
@@ -49,8 +56,8 @@ class Window:
 class Packer:
     """Online packing of pieces; finished windows are handed out as lists of pieces."""
 
-    def __init__(self, size: int = WINDOW):
-        self.size = size
+    def __init__(self, size: int = WINDOW, most: int = OPEN_IDS):
+        self.size, self.most, self.held = size, most, 0
         self.open_at = np.zeros(size + 1, np.int64)
         self.windows: list[list[Window]] = [[] for _ in range(size + 1)]
 
@@ -72,11 +79,16 @@ class Packer:
         else:
             window = Window()
         window.add(piece)
+        self.held += len(piece.ids)
         if window.fill == self.size:
+            self.held -= self.size
             return window
+        self.keep(window)
+        return None
+
+    def keep(self, window: Window) -> None:
         self.windows[window.fill].append(window)
         self.open_at[window.fill] += 1
-        return None
 
     def document(self, doc_id: int | None, ids: np.ndarray) -> Iterator[Window]:
         for start in range(0, len(ids), self.size):
@@ -84,21 +96,38 @@ class Packer:
             done = self.place(Piece(doc_id, start, part if len(part) == self.size else part.copy(), len(ids)))
             if done:
                 yield done
-
-    def finish(self) -> Iterator[Window]:
-        """The unfinished windows, the emptiest cut to fill the fullest; the last one as powers of two."""
-        left = [w for level in self.windows for w in level]  # the emptiest first
+            if self.held > self.most:
+                yield from self.drain(self.most // 2)
+
+    def drain(self, least: int) -> Iterator[Window]:
+        """Cut the emptiest windows to fill the fullest, until at most ``least`` ids are in unfinished ones (or less than a window)."""
+        left = deque(w for level in self.windows for w in level)  # the emptiest first
+        self.windows = [[] for _ in self.windows]
+        self.open_at[:] = 0
         spare: list[Piece] = []
-        while left:
+        while left and self.held > least:
             window = left.pop()
             while window.fill < self.size and (spare or left):
                 if not spare:
-                    spare = left.pop(0).pieces[::-1]
+                    spare = left.popleft().pieces[::-1]
                 window.add(self.cut(spare, self.size - window.fill))
             if window.fill == self.size:
+                self.held -= self.size
                 yield window
             else:
                 spare = window.pieces[::-1]
+        if spare:
+            rest = Window()
+            for piece in reversed(spare):
+                rest.add(piece)
+            left.append(rest)
+        for window in left:
+            self.keep(window)
+
+    def finish(self) -> Iterator[Window]:
+        """The unfinished windows, cut to fill each other; the last one as powers of two."""
+        yield from self.drain(0)
+        spare = [p for level in self.windows for w in level for p in w.pieces][::-1]
         rest = sum(len(p.ids) for p in spare)
         for bit in reversed(range(rest.bit_length())):
             if rest >> bit & 1:
@@ -155,7 +184,8 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in slices(batches, "text", ENCODED):
             yield as_batch(list(rows(full(batch))), schema)
-        yield as_batch(list(rows(packer.finish())), schema)
+        for some in batched(rows(packer.finish()), ROWS):
+            yield as_batch(list(some), schema)
         encoder(spec.value).rest()
 
     return small_batches(keyed(df, id_col, text_col)).mapInArrow(run, SCHEMA)
