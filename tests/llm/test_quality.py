@@ -1,9 +1,11 @@
 from collections import Counter
 
+import duckdb
+from compare import mismatch
 from hypothesis import given
 from hypothesis import strategies as st
 
-from weft.llm import quality
+from weft.llm import quality, queries
 
 
 def brute(text):
@@ -47,3 +49,23 @@ def test_rejected_host_keeps_clean_documents(spark):
 
 def test_stage_keeps_columns(edge):
     assert quality.keep_good(edge).columns == edge.columns
+
+
+def test_query_and_statement_on_hosts_of_both_kinds(spark, tmp_path):
+    """A table with one bad host among many: its faulty documents go, others' stay; the statement says the same."""
+    good = " ".join(f"w{i}" for i in range(80))
+    faulty = good + " ### $$$ ***" * 5
+    rows = [(1000 * h + i, "too short" if i % 20 < (14 if h == 3 else 2) else faulty if i % 3 else good, f"host{h}") for h in range(12) for i in range(200)]
+    rows += [(99_000 + i, good, None) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    gone = {r.doc_id // 1000 for r in got.where("NOT base_failed AND NOT kept").collect()}
+    assert gone == {3} and got.where("kept AND doc_id BETWEEN 3000 AND 3999").count() > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert mismatch(got, queries.ORACLES["op9_quality_rules"], con) is None
+
+
+def test_equal_hosts_are_not_rejected(spark):
+    hosts = spark.createDataFrame([(f"h{i}", 500, 50 + i) for i in range(20)], "host string, n long, n_failed long")
+    assert not any(r.rejected for r in quality.host_verdicts(hosts).collect())

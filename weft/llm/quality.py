@@ -2,7 +2,7 @@
 
 Base rules read one text. Host rules aggregate their failures by host, shrink each rate towards
 the corpus by a beta prior fitted to the hosts (moments), and join the verdict back. A host is
-rejected when even the low end of its shrunk rate is above a limit; of its documents only those
+rejected when even the low end of its shrunk rate has clearly worse odds than the prior's mean; of its documents only those
 without any minor fault stay, so that clean documents survive a bad neighbourhood.
 """
 
@@ -20,8 +20,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of the words
 
-#: A host is rejected when its shrunk rate, less so many standard deviations, exceeds the limit.
-REJECT_RATE = 0.5
+#: A host is rejected when the odds of its shrunk rate, less so many standard deviations, exceed so many times those of the prior's mean.
+ODDS = 2.0
 DEVIATIONS = 2.0
 #: Minor faults, in per cent: of repeated words, of symbols to characters of words, of repeated lines.
 MINOR = {"n_repeat_words": 20, "n_symbols": 5, "n_dup_lines": 1}
@@ -115,7 +115,8 @@ def host_verdicts(hosts: DataFrame) -> DataFrame:
     a, b = F.col("n_failed") + F.lit(strength * mean), F.col("n") - F.col("n_failed") + F.lit(strength * (1 - mean))
     rate = a / (a + b)
     low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return hosts.select("host", "n", "n_failed", rate.alias("rate"), (low > REJECT_RATE).alias("rejected"))
+    worse = low * (1 - mean) > ODDS * mean * (1 - low)
+    return hosts.select("host", "n", "n_failed", rate.alias("rate"), worse.alias("rejected"))
 
 
 def judged(measured: DataFrame, verdicts: DataFrame, host: str, prefix: str = "") -> DataFrame:

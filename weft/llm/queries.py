@@ -100,8 +100,9 @@ b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
 p AS (SELECT sum(f) / sum(n) AS mean, greatest(sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) ** 2, 0) AS spread FROM h),
 k AS (SELECT mean, CASE WHEN spread > 1e-12 THEN greatest(1.0, mean * (1 - mean) / spread - 1) ELSE 1e12 END AS strength FROM p),
-r AS (SELECT source, n + strength AS total, (f + strength * mean) / (n + strength) AS rate FROM h, k),
-v AS (SELECT source, rate - {quality.DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1)) > {quality.REJECT_RATE} AS rejected FROM r)
+r AS (SELECT source, mean, n + strength AS total, (f + strength * mean) / (n + strength) AS rate FROM h, k),
+l AS (SELECT source, mean, rate - {quality.DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1)) AS low FROM r),
+v AS (SELECT source, low * (1 - mean) > {quality.ODDS} * mean * (1 - low) AS rejected FROM l)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (rejected AND (100 * n_repeat_words > {quality.MINOR['n_repeat_words']} * n_words
            OR 100 * n_symbols > {quality.MINOR['n_symbols']} * word_chars
