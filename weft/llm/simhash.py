@@ -182,7 +182,7 @@ def compare(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for the nodes of ``edges`` (a, b).
+    """(node, component): the smallest node reachable, for the nodes of ``edges`` (a, b), which may be structs.
 
     Large-star and small-star contractions on the written edges until they are stars; a round is two
     aggregations and two joins, whose hot keys Spark splits.
@@ -219,11 +219,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def rooted(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int, radius: int) -> DataFrame:
     """(doc_id, fp, root, component_id) of each row; the root tells components apart that one id names."""
     prints = cut(fingerprints(keyed(df, id_col, text_col), words_per_shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = cut(components(near_links(nodes.select("fp"), radius)))
-    least = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
-    named = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = cut(least.join(named, "root").select("fp", "root", "component_id"))
+    # a node is its smallest id (none counts as the largest) and its fingerprint: the smallest node names the component
+    node = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).select("fp", node.alias("node")))
+    links = near_links(nodes.select("fp"), radius)
+    ends = links.join(nodes.toDF("a", "na"), "a").join(nodes.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    found = components(ends).withColumnRenamed("node", "linked")
+    named = nodes.join(found, F.col("node.fp") == F.col("linked.fp"), "left").select("fp", F.coalesce("component", "node").alias("top"))
+    of_print = cut(named.select("fp", F.col("top.fp").alias("root"), F.col("top.least_id").alias("component_id")))
     return prints.join(of_print, "fp")
 
 
