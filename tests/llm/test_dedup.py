@@ -49,3 +49,24 @@ def test_drop_copies_keeps_all_columns(edge):
     assert Counter(r.text or "" for r in rows) == Counter({r.text or "" for r in edge.collect()})
     assert {r.doc_id for r in rows if (r.text or "") == ""} == {5}
     assert [r.doc_id for r in rows if r.text == "a small text with enough words to be a text of its own kind"] == [2]
+
+
+def test_rows_are_found_through_the_directory(docs):
+    """Without one of its leaves, the index answers for no row of that bucket, and for all others as before."""
+    rows = dedup.keyed(docs, "doc_id", "text")
+    key = dedup.key64(F.col("text"))
+    entries, leaves = dedup.index(rows, key, capacity=40)
+    probes = dedup.keys(rows, key)
+    whole = dedup.probed(probes, entries, leaves).collect()
+    assert len(whole) == docs.count()
+    lost = leaves.orderBy("depth", "prefix").first()
+    rest = leaves.where(f"NOT (depth = {lost.depth} AND prefix = {lost.prefix})")
+    inside = dedup.in_buckets(probes, leaves).where(f"depth = {lost.depth} AND prefix = {lost.prefix}").count()
+    assert rest.count() > 0 and inside > 0 and dedup.probed(probes, entries, rest).count() == len(whole) - inside
+
+
+def test_index_is_in_order_of_unsigned_prefixes(docs):
+    entries, leaves = dedup.index(dedup.keyed(docs, "doc_id", "text"), dedup.key64(F.col("text")), capacity=40)
+    files = entries.withColumn("file", F.input_file_name()).groupBy("file").agg(F.min(F.expr("shiftleft(prefix, 63 - depth)")).alias("low"), F.max(F.expr("shiftleft(prefix, 63 - depth)")).alias("high")).orderBy("low").collect()
+    assert all(a.high <= b.low for a, b in zip(files, files[1:])) and leaves.count() > 1
+    assert entries.where((F.col("depth") > 0) & (F.expr("shiftrightunsigned(key, 64 - depth)") != F.col("prefix"))).count() == 0

@@ -6,8 +6,9 @@
 2. ``directory`` doubles until no bucket of distinct keys is overfull: a bucket is the smallest
    key prefix whose count fits the capacity, so only overfull buckets split.
 3. The index (bucket, key, digest, id that stays, size of the group) is written in bucket order to
-   the shared folder; owner tasks take contiguous ranges of keys.
-4. Documents probe it with (key, digest). The digest selects the entry of the chain: the entries
+   the shared folder; owner tasks take contiguous ranges of buckets.
+4. Documents find the bucket of their key in the directory and probe the index with bucket, key and digest.
+   The digest selects the entry of the chain: the entries
    were made by comparing bytes, and the index refuses two entries of one chain with one digest.
 """
 
@@ -21,6 +22,8 @@ from .common import col, cut, keyed
 
 #: Distinct keys a bucket may hold before it splits.
 CAPACITY = 100_000
+#: What names a bucket: the number of leading bits of its keys, and these bits.
+BUCKET = ["depth", "prefix"]
 
 
 def key64(text: Column) -> Column:
@@ -69,17 +72,27 @@ def index(docs: DataFrame, key: Column, capacity: int = CAPACITY) -> tuple[DataF
     """The written index and its directory. Two texts of one chain with one digest are refused."""
     entries = cut(chains(docs, key))
     leaves = cut(directory(entries, capacity))
-    depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # 64 numbers at most
-    prefixes = F.array(*[F.struct(F.lit(d).alias("depth"), prefix_of(F.col("key"), d).alias("prefix")) for d in depths]) if depths else F.array(F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix")))
     chain = entries.groupBy("key").agg(F.count(F.lit(1)).alias("chain"), F.count_distinct("digest").alias("digests"))
     refuse = F.when(F.col("digests") < F.col("chain"), F.raise_error(F.lit("two texts share key and digest"))).otherwise(F.col("chain"))
     chained = entries.join(chain.select("key", refuse.alias("chain")), "key")
-    placed = (
-        chained.withColumn("at", F.explode(prefixes))
-        .join(leaves.select(F.struct("depth", "prefix").alias("at")), "at")
-        .select(F.col("at.depth").alias("depth"), F.col("at.prefix").alias("prefix"), "key", "digest", "keep_id", "group_size", "chain")
-    )
-    return cut(placed.repartitionByRange("key").sortWithinPartitions("key", "digest")), leaves
+    placed = in_buckets(chained, leaves).select(*BUCKET, "key", "digest", "keep_id", "group_size", "chain")
+    start = F.expr("shiftleft(prefix, 63 - depth)")  # unsigned, so bucket order is key order
+    return cut(placed.repartitionByRange(start, *BUCKET, "key").sortWithinPartitions(start, *BUCKET, "key", "digest")), leaves
+
+
+def in_buckets(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` with the bucket of their ``key`` in the directory (depth, prefix); a key without a bucket is in no row.
+
+    A key is looked up by its prefix of every depth that occurs; of these exactly one is a leaf.
+    """
+    depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # 64 numbers at most
+    prefixes = F.array(*[F.struct(F.lit(d).alias("depth"), prefix_of(F.col("key"), d).alias("prefix")) for d in depths or [0]])
+    if len(depths) < 2:  # one depth: every prefix of it that occurs is a leaf
+        cell = prefixes[0]
+        found = rows.withColumns({"depth": cell["depth"], "prefix": cell["prefix"]})
+    else:
+        found = rows.withColumn("at", F.explode(prefixes)).select(*rows.columns, "at.depth", "at.prefix")
+    return found.join(leaves.select(*BUCKET), BUCKET, "left_semi")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -91,14 +104,19 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = keyed(df, id_col, text_col)
     key = key64(F.col("text")) if key is None else key
-    entries, _ = index(docs, key, capacity)
-    found = keys(docs, key).join(entries.select("key", "digest", "keep_id", "group_size"), ["key", "digest"])
+    found = probed(keys(docs, key), *index(docs, key, capacity))
     repeat = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy("keep_id"))
     return found.withColumn("repeat", repeat).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
+def probed(rows: DataFrame, entries: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(doc_id, key, digest) with keep_id and group_size from the index, by way of the directory."""
+    probe = [*BUCKET, "key", "digest"]
+    return in_buckets(rows, leaves).join(entries.select(*probe, "keep_id", "group_size"), probe)
+
+
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
