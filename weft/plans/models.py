@@ -29,8 +29,8 @@ def turn_key():
     return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
-def spread(df, key, vec="z"):
-    return df.select(key, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.round("x", 6))
+def spread(df, key, vec="z", keep=()):
+    return df.select(key, *keep, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 def turns(spark, sf):
@@ -70,7 +70,7 @@ def svd(spark, sf):
 @query("svd_long")
 def svd_long(spark, sf):
     tv = cut(V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term"))
-    return spread(D.svd_long(tv, "doc_id", "term", "w", 5, rounds=1), "doc_id")
+    return spread(D.svd_long(tv, "doc_id", "term", "w", 5, rounds=3), "doc_id", keep=["rounds", "converged"])
 
 
 @query("pca", GAP_SQL)
@@ -81,8 +81,9 @@ def pca(spark, sf):
 @query("nmf")
 def nmf(spark, sf):
     weights = V.tfidf_vectors(corpus_tokens(spark, sf).withColumnRenamed("w", "term"), "doc_id", "term")
-    rows, _, _ = D.nmf(weights, "doc_id", "term", "w", 4, rounds=10, track=False)
-    return spread(rows, "doc_id", "h")
+    found = D.nmf(weights, "doc_id", "term", "w", 4, rounds=10, track=False)
+    told = found.rows.withColumns({"rounds": F.lit(len(found.losses)), "loss": F.lit(round(found.losses[-1], 3)), "converged": F.lit(found.losses.converged)})
+    return spread(told, "doc_id", "h", keep=["rounds", "loss", "converged"])
 
 
 @query("lda")

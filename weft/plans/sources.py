@@ -89,7 +89,7 @@ def sink_text(spark, sf):
 @query("model_save_load", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word, 8 AS dim, true AS same FROM documents""")
 def model_save_load(spark, sf):
     docs = corpus(spark, sf).select(words(F.col("text")).alias("t"))
-    stage = Word2Vec(vectorSize=8, windowSize=5, minCount=1, seed=1, maxIter=1, inputCol="t", outputCol="v")
+    stage = Word2Vec(numPartitions=spark.sparkContext.defaultParallelism, vectorSize=8, windowSize=5, minCount=1, seed=1, maxIter=1, inputCol="t", outputCol="v")
     path = scratch_path(spark, "model")
     fitted = Pipeline(stages=[stage]).fit(docs)
     fitted.write().save(path)

@@ -56,6 +56,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Written tables of an iteration, of which only the last two rounds stay on the shared disk.
+
+    A round reads the tables of the one before, whose own lineage ends at its files; so what is older serves
+    nobody, whichever executor is lost. ``kept`` tables are the result and stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rounds = spark, [[]]
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again, as a table of this round."""
+        path = scratch_path(self.spark, "table")
+        df.write.parquet(path)
+        self.rounds[-1].append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def next(self) -> None:
+        """A new round begins; the tables of the round before the last are removed."""
+        self.rounds.append([])
+        for path in self.rounds[-3] if len(self.rounds) > 2 else []:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # the folder made for this table alone
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def widen(df: DataFrame, key: str) -> DataFrame:
     """Spread a table that sits in fewer files than there are cores, before heavy work per row.
 
