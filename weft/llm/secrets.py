@@ -2,13 +2,16 @@
 
 Base spans come from three patterns. The novelty method looks at the strings that follow a sensitive
 word, on its line or the next ones, or stand before it, and measures, with a compressor primed
-with an identifier dictionary, how many bytes the string adds to its surroundings. Names, paths and prose compress well against the dictionary
-and the text around them; random key material does not and is reported.
+with an identifier dictionary, how many bytes the string adds to its surroundings. Both are measured behind one fixed frame, whose signs
+are as frequent as those of names, so that the compressor codes signs the same way in a text of one line and in a long one. Names, paths,
+dates and prose compress well against the dictionary, the frame and the text around them; random key material does not and is reported.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, keyed, per_batch
+from .common import cut, extended, keyed, per_batch
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -37,23 +40,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
 #: A candidate as a whole, and what may lie between the lines of one key (quotes, and a line end or the backslash of a written one).
 WHOLE = re.compile(rf"(?<![A-Za-z0-9+/_.~-]){CANDIDATE.pattern}")
 GAP = re.compile(r"""(?=[^\r\n\\]*+[\r\n\\])[\s"'+,\\]{1,64}""")
-CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 #: Code points of the text on each side that a candidate is measured against.
 AROUND = 256
-#: Least added bytes per character. Short random strings add about one (zstandard leaves them as they are);
-#: repeated strings, and names known from the dictionary or the text around, add much less.
-NOVELTY = 0.8
-#: Changes between digit and letter per character from which NOVELTY is enough: random strings of both have 0.25 or more,
-#: names and dates below 0.1. Other strings add more than unknown names of their length do: these add up to 1.1 bytes
-#: per character at 16 characters, 0.9 at 64.
-CHANGES = 0.125
-PLAIN_NOVELTY, PLAIN_BYTES = 0.82, 4
-#: Characters from which zstandard packs even random base64 into 6 bits each (0.75 bytes), and what is asked of those.
-LONG, LONG_NOVELTY = 128, 0.7
+#: Least added bytes: this many per character, and half a byte. Random strings of both cases, with digits, base64 and upper-case
+#: hexadecimal add 0.78 and more per character from 24 characters on; names, dates and numbers up to 0.75, random lower case 0.72.
+NOVELTY, MORE = 0.76, 0.5
+#: Characters measured at a time, against those before them.
+PIECE = 64
+#: The frame's length in signs, and its shares of capitals, digits and joining signs; the other signs are those of LANGUAGE_WORDS.
+FRAME, CAPITALS, DIGITS, JOINTS = 2048, 0.03, 0.2, 0.05
 LEVEL = 3
 
-#: Identifiers in the dictionary: the most frequent of the corpus, and these words of common languages.
-IDENTIFIERS = 4096
+#: Identifiers in the dictionary: those that are at least one in so many of all in the corpus (so there are no more than that), and
+#: these words of common languages.
+ONE_IN = 16_384
 LANGUAGE_WORDS = """and array as async await bool boolean break byte case catch char class config const continue
 def default delete dict double else enum except export extends false final finally float for from func
 function if implements import in include int interface is lambda let list long map namespace new nil none
@@ -61,11 +61,22 @@ not null object or package pass print private protected public raise return self
 struct super switch template this throw true try type typedef union unsigned using value var virtual void while with yield""".split()
 
 
-def identifiers(docs: DataFrame, top: int = IDENTIFIERS) -> list[str]:
-    """The ``top`` most frequent identifiers of all texts (names before one of ``:=(``); at most 64 characters each."""
+def identifiers(docs: DataFrame, one_in: int = ONE_IN) -> list[str]:
+    """The identifiers of all texts (names before one of ``:=(``, at most 64 characters each) that are at least one in ``one_in``, frequent ones first."""
     found = docs.where("text rlike '[:=(]'").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,63})[\"']? ?[:=(]"), F.lit(1))).alias("name"))
-    counted = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(top)
-    return [r["name"] for r in counted.collect()]
+    counted = cut(found.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).scalar()
+    return [r["name"] for r in counted.where(F.col("n") * one_in >= total).orderBy(F.desc("n"), "name").collect()]  # at most ``one_in``
+
+
+def frame() -> str:
+    """Signs drawn at random with the shares of names, the same in every process; then words of the dictionary.
+
+    The compressor looks less closely for matches the longer it has found none; the words make it look at every place of the text that follows.
+    """
+    draw, letters = random.Random(0), "".join(LANGUAGE_WORDS)
+    signs = draw.choices((letters, string.ascii_uppercase, string.digits, "_-/."), (1 - CAPITALS - DIGITS - JOINTS, CAPITALS, DIGITS, JOINTS), k=FRAME)
+    return "".join(draw.choice(x) for x in signs) + "\n".join(LANGUAGE_WORDS)
 
 
 def dictionary(names: list[str]) -> bytes:
@@ -80,11 +91,15 @@ class Scanner:
         primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=LEVEL)
         self.compress = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self.frame = frame().encode()
 
     def added(self, around: str, candidate: str) -> int:
-        """Marginal compressed bytes of the candidate."""
-        near, string = around.encode("utf-8", "surrogatepass"), candidate.encode()
-        return len(self.compress(near + string)) - len(self.compress(near))
+        """Marginal compressed bytes of the candidate, piece by piece behind the frame, the text around and the piece before."""
+        near, whole, sizes = self.frame + around.encode("utf-8", "surrogatepass"), candidate.encode(), 0
+        for at in range(0, len(whole), PIECE):
+            known = near + whole[max(0, at - PIECE) : at]
+            sizes += len(self.compress(known + whole[at : at + PIECE])) - len(self.compress(known))
+        return sizes
 
     def scan(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) by start, then kind as listed; code points, end exclusive."""
@@ -110,6 +125,8 @@ class Scanner:
             while (m := CANDIDATE.search(text, at, min(len(text), after + REACH + 16))) and m.start() <= after + REACH:
                 i = bisect_right(wholes, (m.start(), len(text))) - 1  # the string that the candidate is, or ends
                 first, last, new = m.start(), lasts[i], True
+                if text[first - 1].isalnum() and text[first].isalnum() and wholes[i][0] >= done:  # inside a longer word
+                    first = wholes[i][0]
                 for k in range(i, len(wholes)):
                     start, end = max(first, wholes[k][0]), wholes[k][1]
                     if start >= last or k > i and not new:
@@ -139,14 +156,7 @@ class Scanner:
         """Measured against the text around ``first`` to ``last``, without copies in reach behind a word that ends at one of ``ends``."""
         string = text[start:end]
         around = without(text, max(0, first - AROUND), first, string, ends) + without(text, last, min(len(text), last + AROUND), string, ends)
-        return self.added(around, string) >= self.least(string) * len(string)
-
-    @staticmethod
-    def least(string: str) -> float:
-        """Least added bytes per character, by length and by turns of digits and letters (key material has them; names, versions and dates don't)."""
-        if len(string) >= LONG:
-            return LONG_NOVELTY
-        return NOVELTY if len(CHANGE.findall(string)) >= CHANGES * len(string) else PLAIN_NOVELTY + PLAIN_BYTES / len(string)
+        return self.added(around, string) >= NOVELTY * len(string) + MORE
 
 
 class Spans:
@@ -206,7 +216,11 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``df`` with the secrets of its texts masked and ``length_col`` (if there) counted again for those texts; every row stays."""
+    """``df`` with the secrets of its texts masked and ``length_col`` (if there) counted again for those texts.
+
+    Every row stays, in its columns' order. NULL and empty texts, NULL ids and the lengths of texts without secrets stay as they are; repeated
+    rows are masked alike; an empty table gives no rows; other columns are passed on untouched.
+    """
     words = dictionary(identifiers(keyed(df, id_col, text_col)))
     at, holder = df.columns.index(text_col), []
     counted = length_col in df.columns
