@@ -464,8 +464,18 @@ def page_watch_stream(spark, sf):
 def hmm_filter_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     symbols = F.array(*[F.lit(s) for s in SYMBOLS])
-    events = streams.file_stream(spark, sf, schema, glob="events.parquet").select(
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = table(spark, sf, "events").agg(F.max(seconds) - F.min(seconds)).first()[0]
+    if span is None:  # no events, no steps
+        return spark.createDataFrame([], "user_id bigint, step bigint, f0 double, f1 double")
+    # files of a table are in no order of time: rows may be as late as the table is long
+    late = span + 1
+    end, folder = streams.closing(spark, schema)
+    events = streams.file_stream(spark, sf, schema, glob="events.parquet").unionByName(end).select(
         "user_id", "ts", "event_id", (F.array_position(symbols, F.col("event_type")) - 1).cast("int").alias("sym")
     )
-    out = streams.hmm_filter_stream(events, "user_id", ["ts", "event_id"], "sym", MODEL)
-    return first_two(streams.run_to_table(spark, out, "forward"), "f", ["f0", "f1"])
+    out = streams.hmm_filter_stream(events, "user_id", ["ts", "event_id"], "sym", MODEL, delay=f"{late} seconds", slot_seconds=7 * 86_400)
+    after = F.max("ts") + F.make_dt_interval(F.lit(3), F.lit(0), F.lit(0), F.lit(late))
+    known = table(spark, sf, "events").agg(after.alias("ts"), F.max("user_id").alias("user_id"), F.max("event_id").alias("event_id"))
+    last = known.select(*[F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    return first_two(streams.run_closed(spark, out, "forward", folder, last), "f", ["f0", "f1"])
