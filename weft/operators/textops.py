@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.functions.text import clean_tag_doc, normalise_mapping_field, singular, split_list
-from weft.operators.order import ordered_chunks
+from weft.operators.order import ordered_chunks, positions
+from weft.session import cut
 
 
 def token_table(df: DataFrame, key: str, tokens: Column, word: str = "word", pos: str = "pos") -> DataFrame:
@@ -89,21 +90,31 @@ def word_tree(keywords: DataFrame, keyword: str) -> DataFrame:
     return many.join(roots, "root", "left_semi").select("root", "child")
 
 
-def label_classes(labels: DataFrame, label: str) -> Column:
-    """The sorted class list as a scalar subquery; its length is the width of the encoding."""
-    return labels.select(label).distinct().agg(F.array_sort(F.collect_list(label))).scalar()
+def label_classes(labels: DataFrame, label: str) -> DataFrame:
+    """(label, id): the distinct labels numbered from 0 in their order, written once. NULL is no label."""
+    names = labels.select(F.col(label).alias("label")).filter("label IS NOT NULL").distinct()
+    return cut(positions(names, [], ["label"], "_p").select("label", (F.col("_p") - 1).alias("id")))
 
 
-def multilabel_encode(sets: DataFrame, labels: str, classes: Column, out: str = "bits") -> DataFrame:
-    return sets.withColumn("_classes", classes).withColumn(
-        out, F.transform("_classes", lambda c: F.array_contains(labels, c).cast("int"))
-    ).drop("_classes")
+def multilabel_encode(rows: DataFrame, key: str, label: str, classes: DataFrame, out: str = "ids") -> DataFrame:
+    """(key, ids): the numbers of a row's labels, ascending and once each, from the long table (key, label).
+
+    Labels outside ``classes``, and NULL, have no number; a row with only such labels keeps its place with no ids.
+    """
+    numbered = rows.select(key, F.col(label).alias("label")).join(classes, "label", "left")
+    return numbered.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias(out))
+
+
+def multilabel_decode(encoded: DataFrame, key: str, ids: str, classes: DataFrame, sep: str = ";", out: str = "labels") -> DataFrame:
+    """(key, labels): the names of a row's numbers, in their order, joined; an empty string for a row without any."""
+    long = encoded.select(key, F.explode_outer(ids).alias("id")).join(classes, "id", "left")
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "label")))), lambda x: x["label"])
+    return long.groupBy(key).agg(F.concat_ws(sep, named).alias(out))
 
 
-def multilabel_decode(encoded: DataFrame, bits: str, classes: Column, sep: str = ";", out: str = "labels") -> DataFrame:
-    return encoded.withColumn("_classes", classes).withColumn(
-        out, F.concat_ws(sep, F.filter("_classes", lambda c, i: F.get(bits, i) == 1))
-    ).drop("_classes")
+def dense_bits(ids: str, width: int) -> Column:
+    """The 0/1 vector of ``width`` classes from a row's numbers, as a string."""
+    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(ids, i.cast("bigint")).cast("int").cast("string")))
 
 
 def nested_enrich(df: DataFrame, record: str, paths: dict[str, str], cascade: bool = False) -> DataFrame:

@@ -139,7 +139,9 @@ def hierarchical_bins(spark, sf):
 
 @query("affinity_bins")
 def affinity_bins(spark, sf):
-    return doc_bins(spark, sf, C.affinity_bins(vectors(spark, sf), "vec_id", "v", rounds=30).withColumnRenamed("exemplar", "cluster"))
+    found = cut(C.affinity_bins(vectors(spark, sf), "vec_id", "v", rounds=60))
+    told = found.agg(F.first(F.struct("rounds", "converged"))).scalar()
+    return doc_bins(spark, sf, found.withColumnRenamed("exemplar", "cluster")).withColumns({"rounds": told["rounds"], "converged": told["converged"]})
 
 
 HISTOGRAM_SQL = """c AS (SELECT doc_id, cluster, count(*) AS n FROM b GROUP BY ALL),

@@ -11,9 +11,10 @@ from weft.operators import textops as T
 from weft.operators.ranking import top_k
 from weft.operators.relational import group_concat_docs
 from weft.plans.registry import query, table
-from weft.plans.relational import SETS_SQL, label_sets, order_labels
+from weft.plans.relational import SETS_SQL, order_labels
 from weft.plans.roles import SONG_ORDER, SONG_SQL, TOKENS_SQL, corpus, corpus_tokens, song_tags
 from weft.plans.ranking import GROUP_SQL
+from weft.session import cut
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
@@ -180,10 +181,11 @@ def word_tree(spark, sf):
 @query("multilabel_encode", f"""WITH {SETS_SQL}, cl AS (SELECT list_sort(list(DISTINCT label)) AS classes FROM ol)
   SELECT song, array_to_string(list_transform(classes, lambda c: CASE WHEN list_contains(arr, c) THEN '1' ELSE '0' END), '') AS bits, labels FROM sets, cl""")
 def multilabel_encode(spark, sf):
-    classes = T.label_classes(order_labels(spark, sf), "label")
-    encoded = T.multilabel_encode(label_sets(spark, sf), "labels", classes)
-    back = T.multilabel_decode(encoded.drop("labels"), "bits", classes)
-    return back.select("song", F.concat_ws("", F.transform("bits", lambda b: b.cast("string"))).alias("bits"), "labels")
+    rows = cut(order_labels(spark, sf))
+    classes = T.label_classes(rows, "label")
+    encoded = cut(T.multilabel_encode(rows, "song", "label", classes))
+    back = T.multilabel_decode(encoded, "song", "ids", classes)
+    return encoded.join(back, "song").select("song", T.dense_bits("ids", classes.count()).alias("bits"), "labels")
 
 
 @query("xy_string", "SELECT c_custkey, c_custkey || ',' || c_nationkey AS xy FROM customer")
