@@ -67,3 +67,14 @@ def test_edge_rows(spark, edge, no_rows):
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
         assert all(r.held_out for r in out if r.doc_id is None)
     assert toxicity.toxicity(no_rows, some).count() == 0
+
+
+def test_entries_are_chosen_by_their_share(spark):
+    """An entry stays if it is at least one in ``one_in``; no rank drops a significant one."""
+    rows = [(f"w{i:04d}", 40, 1) for i in range(3000)] + [("rare", 2, 0), ("plain", 10, 2_000_000)]
+    counts = spark.createDataFrame(rows, "word string, t long, c long")
+    words, share, rest = toxicity.lexicon(counts, 1_000_000)
+    assert {f"w{i:04d}" for i in range(3000)} <= set(words) and 0 < rest < 1 and set(share) == set(words)
+    total = sum(t + c for _, t, c in rows)
+    assert set(toxicity.lexicon(counts, total // 41 - 1)[0]) <= {"plain"}
+    assert set(words) >= set(toxicity.lexicon(counts, total // 41 + 1)[0]) >= {f"w{i:04d}" for i in range(3000)}

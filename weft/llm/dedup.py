@@ -122,7 +122,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Only the ids that go are joined, so the texts are not shuffled where those are few enough for a
     broadcast of checked size. Ids that several rows share (and NULL ids) are decided row by row; of
-    rows that repeat id and text one stays.
+    rows that repeat id and text one stays. NULL texts equal empty ones; an empty table gives no rows.
     """
     groups = cut(exact_groups(df, id_col, text_col))
     ids = cut(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("kept").alias("kept")))

@@ -142,7 +142,8 @@ def keep_good(df: DataFrame, text_col: str = "text", host: str = "source") -> Da
     """The rows of ``df`` that pass, with all their columns.
 
     The texts are measured twice (once for the hosts, once for the rows) instead of being written
-    or shuffled; rejected hosts reach the rows by a broadcast only if their size allows it.
+    or shuffled; rejected hosts reach the rows by a broadcast only if their size allows it. NULL and empty texts have
+    no words and go; rows without a host are one host; repeated rows are judged alike and all stay or go; an empty table gives no rows.
     """
     narrow = df.select(col(text_col).cast("string").alias("text"), col(host).alias("host"))
     verdicts = host_verdicts(host_failures(with_measures(narrow, prefix="").drop("text"), "host"))

@@ -155,7 +155,7 @@ def near_links(fps: DataFrame, radius: int, group_size: int = 1 << 16) -> DataFr
     """Spanning edges (a, b) of the links between distinct fingerprints ``fp``, forest by forest.
 
     A group travels once to each partner whose population counts are within the radius. Three
-    numbers per group of up to ``group_size`` fingerprints reach the driver.
+    numbers per group of up to ``group_size`` fingerprints reach the driver. ``fp`` is distinct and not NULL; an empty table gives no links.
     """
     spark = fps.sparkSession
     packed = packed_groups(fps, group_size, 3 * spark.sparkContext.defaultParallelism)
@@ -185,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of ``edges`` (a, b), which may be structs.
 
     Large-star and small-star contractions on the written edges until they are stars; a round is two
-    aggregations and two joins, whose hot keys Spark splits.
+    aggregations and two joins, whose hot keys Spark splits. Repeated edges count once, an edge from a node to itself not at all; no edges
+    give no rows.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:

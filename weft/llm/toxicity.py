@@ -24,8 +24,9 @@ from .common import col, cut, keyed, per_batch, slices, texts_of
 
 #: Labelled rows the model learns from at most (those of the smallest hash of their id).
 TRAIN_ROWS = 20_000
-#: Words in the lexicon at most (those of the largest |z|); both bounds keep the model small enough to ship.
-LEXICON = 50_000
+#: Entries of the lexicon are at least one in so many of all entries that the training texts hold, each once a text; so there are no more
+#: than that, and the model is small enough to ship.
+ONE_IN = 1_000_000
 #: Weight of the prior: a word counts this share of its own frequency in either class, and a trace more.
 PRIOR, TRACE = 0.1, 0.01
 #: Words enter the lexicon with at least so many standard deviations.
@@ -145,7 +146,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     return cut(partial.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
 
 
-def lexicon(counts: DataFrame, size: int) -> tuple[dict[str, float], dict[str, float], float]:
+def lexicon(counts: DataFrame, one_in: int) -> tuple[dict[str, float], dict[str, float], float]:
     """(log-odds by word, share of clean text by word, share of clean text outside)."""
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).first()
     if not total["t"] or not total["c"]:
@@ -154,8 +155,10 @@ def lexicon(counts: DataFrame, size: int) -> tuple[dict[str, float], dict[str, f
     mass = PRIOR * (total["t"] + total["c"]) + TRACE * total["n"]
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (F.lit(total["t"] + mass) - t)) - F.log(c / (F.lit(total["c"] + mass) - c))
-    scored = counts.select("word", odds.alias("s"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"), (c / F.lit(total["c"] + mass)).alias("p"))
-    rows = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(size).collect()
+    held = F.col("t") + F.col("c")
+    often = counts.where(held * one_in >= F.lit(total["t"] + total["c"]))
+    scored = often.select("word", odds.alias("s"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"), (c / F.lit(total["c"] + mass)).alias("p"))
+    rows = scored.where(F.abs("z") >= LEAST_Z).orderBy("word").collect()  # at most ``one_in``
     share = {r["word"]: r["p"] for r in rows}
     return {r["word"]: r["s"] for r in rows}, share, max(1.0 - sum(share.values()), 1e-9)
 
@@ -190,14 +193,14 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, one_in: int = ONE_IN) -> Model:
     """Learn lexicon, lambda, K and the curve from at most ``rows`` labelled rows of (doc_id, toxic).
 
     Two numbers per training text reach the driver for K and the curve. Without both classes there is no lexicon
     and every text gets the smoothed rate of toxic rows (0 without any labels).
     """
     train = training(docs, labels, rows)
-    scores, share, rest = lexicon(word_counts(train), size)
+    scores, share, rest = lexicon(word_counts(train), one_in)
     values = np.array([*scores.values(), 0.0]) - DRIFT
     model = Model(scores, decay(values, np.array([*share.values(), rest])), 0.0)
 
@@ -218,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int =
     return model
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, size: int = LEXICON) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, one_in: int = ONE_IN) -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, score, predicted, n_passages, passages.
 
     ``passages`` names the significant segments as first:last word. NULL texts are empty and get the score
@@ -227,9 +230,9 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     docs = keyed(df, id_col, text_col)
     known = labels.select(col("doc_id").cast("long").alias("doc_id"), col("toxic").alias("toxic"))
-    model = fit(docs, known, rows, size)
+    model = fit(docs, known, rows, one_in)
     model.seen.clear()
-    shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by ``size`` words
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # at most ``one_in`` entries
 
     def run(ids: list, texts: list[str]) -> dict:
         m, out = shipped.value, {"doc_id": ids, "score": [], "n_passages": [], "passages": []}
