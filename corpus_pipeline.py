@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again."""
+"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
+
+Every stage takes NULLs in any column, repeated rows and further columns, and gives an empty table for an empty one;
+what it does with NULL and empty texts stands with it.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,27 @@ from weft.llm.common import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go."""
+    """Documents that fail the rules go, NULL and empty texts among them."""
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays; NULL equals empty."""
     return dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near fingerprints the document with the smallest id stays."""
+    """Of each component of near fingerprints the document with the smallest id stays; NULL and empty texts share the fingerprint zero."""
     return simhash.drop_near_copies(docs, words_per_shingle=4, radius=4)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays."""
+    """Secrets are masked in the texts; every document stays, NULL and empty texts as they are."""
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token sequences, as the packing query returns them."""
+    """Pieces of the token sequences, as the packing query returns them; a NULL or empty text is its end id alone."""
     pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
