@@ -297,7 +297,8 @@ def keyword_abstract_features(spark, sf):
         turn_key().alias("item_id"), F.replace("text", F.lit(" "), F.lit(";")).alias("k"), "text"
     )
     got = Y.keyword_abstract_features({"bench": b, "turns": c}, "item_id", "k", "text", 4)
-    return got.select("dataset", "item_id", "keywords_processed", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("keyword_vector", "abstract_vector")])
+    vectors_ = [F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("keyword_vector", "abstract_vector")]
+    return got.select("dataset", "item_id", "keywords_processed", *vectors_, "keyword_converged", "abstract_converged")
 
 
 def apart(rows):
