@@ -86,3 +86,9 @@ def test_identifiers_are_chosen_by_their_share(spark):
     assert secrets.identifiers(docs, 2) == ["alpha"]
     assert secrets.identifiers(docs, 100) == ["alpha", "beta", "gamma"]
     assert secrets.identifiers(docs.where("false")) == []
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_numbers_are_no_secrets(scanner, place):
+    pick = random.Random(place)
+    assert sum(bool(novel(scanner, PLACES[place].format("".join(pick.choices(string.digits, k=16))))) for _ in range(200)) <= 4

@@ -48,7 +48,7 @@ NOVELTY, MORE = 0.76, 0.5
 #: Characters measured at a time, against those before them.
 PIECE = 64
 #: The frame's length in signs, and its shares of capitals, digits and joining signs; the other signs are those of LANGUAGE_WORDS.
-FRAME, CAPITALS, DIGITS, JOINTS = 2048, 0.03, 0.2, 0.05
+FRAME, CAPITALS, DIGITS, JOINTS = 2048, 0.02, 0.25, 0.05
 LEVEL = 3
 
 #: Identifiers in the dictionary: those that are at least one in so many of all in the corpus (so there are no more than that), and
