@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import ranges
 
 #: Words, and chunks, remembered per worker process; beyond that the first half stays, which has the frequent ones.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Words, and chunks, that a worker process keeps from one task to the next.
 KEPT = 100_000
 #: Bytes of text numbered at a time: the more, the fewer chunks are looked up twice.
@@ -166,12 +166,12 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         names, known = coded.dictionary.to_pylist(), self.chunks
         keys = [" " + n for n in names] if self.spaced else names
-        numbers = np.array(list(map(known.get, keys)), np.float64)  # NaN: not known yet
-        new = np.flatnonzero(np.isnan(numbers))
+        numbers = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))  # -1: not known yet
+        new = np.flatnonzero(numbers < 0)
         known.fresh = list(map(keys.__getitem__, new.tolist()))
         numbers[new] = np.arange(len(known), len(known) + len(new))
-        known.update(zip(known.fresh, numbers[new].astype(np.int64).tolist()))
-        index = numbers.astype(np.int64)[coded.indices.to_numpy()]
+        known.update(zip(known.fresh, range(len(known), len(known) + len(new))))
+        index = numbers[coded.indices.to_numpy()]
         if self.spaced:  # the first chunk of a text has no space before it
             first = np.cumsum(sizes) - sizes
             start = [names[i] for i in coded.indices.to_numpy()[first].tolist()]

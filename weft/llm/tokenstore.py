@@ -215,6 +215,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in frames(documents(batches)):
             yield pa.RecordBatch.from_pydict({"frame": pa.array([data], pa.binary())})
+        pa.default_memory_pool().release_unused()  # the process goes on to other tasks
 
     made = small_batches(ordered).mapInArrow(run, "frame binary").select(F.col("frame").cast("string"))  # the bytes as they are
     made.write.option("lineSep", MARK).text(path)
