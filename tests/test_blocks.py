@@ -59,3 +59,29 @@ def test_bits_by_products_equal_the_slow_way():
     x = (rows(30) > 0.4).astype(float)
     slow = np.array([[(p != q).sum() / max(1, ((p != 0) | (q != 0)).sum()) for q in x] for p in x])
     assert (K.jaccard_bits({"v": x}, {"v": x}) == slow).all()
+
+
+@pytest.mark.parametrize("k", [1, 3, 60])
+def test_nearest_by_products_leaves_few_open(k):
+    x, y = rows(40), rows(50, seed=4)
+    y[:5] = x[:5]
+    y[20:25] = y[30]  # ties
+    same = np.zeros((40, 50), bool)
+    same[1, 1] = True
+    d = np.where(same, np.inf, K.euclidean({"v": x}, {"v": y}))
+    r, c, dist = K.euclidean_nearest(x, y, same, k)
+    assert (dist == d[r, c]).all() and not same[r, c].any() and (k > 50 or len(r) < 40 * (k + 6))
+    got = {(i, j) for i, j in zip(r.tolist(), c.tolist())}
+    assert all((i, int(j)) in got for i in range(40) for j in np.argsort(d[i], kind="stable")[:k] if not same[i, j])
+
+
+def test_weights_are_not_sorted_for_their_norms(spark):
+    from weft.operators.vectors import count_vectors
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = count_vectors(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "d long, t string"), "d", "t")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["d"], r["t"]): round(r["w"], 6) for r in got.collect()} == {(1, "a"): 0.707107, (1, "b"): 0.707107, (2, "a"): 1.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
