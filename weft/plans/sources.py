@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from weft.functions.text import words
+from weft.operators.skipgram import SkipGram
 from weft.plans.registry import query, table
 from weft.plans.roles import corpus, vectors
 from weft.session import scratch_path
@@ -89,7 +89,7 @@ def sink_text(spark, sf):
 @query("model_save_load", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word, 8 AS dim, true AS same FROM documents""")
 def model_save_load(spark, sf):
     docs = corpus(spark, sf).select(words(F.col("text")).alias("t"))
-    stage = Word2Vec(numPartitions=spark.sparkContext.defaultParallelism, vectorSize=8, windowSize=5, minCount=1, seed=1, maxIter=1, inputCol="t", outputCol="v")
+    stage = SkipGram("t", dim=8, window=5, min_count=1, seed=1, max_iter=1)
     path = scratch_path(spark, "model")
     fitted = Pipeline(stages=[stage]).fit(docs)
     fitted.write().save(path)
