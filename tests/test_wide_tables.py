@@ -8,7 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from weft.functions.kernels import KERNELS
 from weft.operators import clustering as C
+from weft.operators import reduction as D
 from weft.operators import topics as T
 from weft.plans.sources import model_save_load
 from weft.session import scratch_path, shared_dir
@@ -79,3 +81,22 @@ def test_word_vectors_stay_tables(spark, made):
     means = back.transform(docs.limit(2).unionByName(spark.createDataFrame([(["unknown"],)], "t array<string>"))).collect()
     assert [len(r["vec"] or []) for r in means] == [4, 4, 0]
     assert all(r["same"] and r["dim"] == 8 for r in model_save_load(spark, made).collect())
+
+
+def test_scree_errors_add_up_from_classes(spark, monkeypatch):
+    """Equal to all pairs one by one; rows without length, copies and NULL labels included."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(60, 4)), np.zeros((2, 4)), np.ones((3, 4))])
+    labels = [None if i % 9 == 0 else i % 3 for i in range(len(x))]
+    df = spark.createDataFrame([(i, r.tolist(), c) for i, (r, c) in enumerate(zip(x, labels))], "id bigint, v array<double>, c int")
+    monkeypatch.setattr(D, "KERNELS", {})  # no pair goes through a distance kernel
+    got = {(r["method"], r["dim"]): r["score"] for r in D.scree_table(df, "id", "v", "c", [1, 2, 4]).collect()}
+    assert len(got) == 6
+    truth = np.array([[float(a is None or b is None or a != b) for b in labels] for a in labels])
+    upper = np.triu(np.ones(truth.shape, bool), 1)
+    for name, fn in {"svd": D.svd, "pca": D.pca}.items():
+        z = np.array([r["z"] for r in fn(df, "id", "v", 4).orderBy("id").collect()])
+        for d in (1, 2, 4):
+            dist = np.nan_to_num(KERNELS["cosine"]({"v": z[:, :d]}, {"v": z[:, :d]}))
+            want = 1 - 2 * np.abs(truth - dist / dist.max())[upper].sum() / len(x) ** 2
+            assert abs(got[name, d] - want) < 1e-9
